@@ -29,7 +29,13 @@ def save(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    (df.coalesce(partitions) if partitions else df).write.parquet(path)
+    clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(clean, "false")
+    spark.conf.set(clean, "true")  # once the table is written, nothing reads the shuffle files that led to it
+    try:
+        (df.coalesce(partitions) if partitions else df).write.parquet(path)
+    finally:
+        spark.conf.set(clean, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out

@@ -129,8 +129,8 @@ def judge(docs: DataFrame, text: str = "text", rules: list[Rule] | None = None)
 ORACLE = rf"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t,
-         list_filter(string_split(translate(coalesce(text, ''), chr(9)||chr(10)||chr(11)||chr(12)||chr(13), '     '), ' '), x -> x <> '') AS w,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> trim(translate(x, chr(9)||chr(10)||chr(11)||chr(12)||chr(13), '     ')) <> '') AS l
+         list_filter(string_split(translate(coalesce(text, ''), chr(9)||chr(10)||chr(11)||chr(12)||chr(13), '     '), ' '), lambda x: x <> '') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(translate(x, chr(9)||chr(10)||chr(11)||chr(12)||chr(13), '     ')) <> '') AS l
   FROM documents
 ), win AS (
   SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vectide.llm import bpe, langid, quality, sharding
+from vectide.llm import bpe, langid, minhash, quality, sharding
 
 
 def _tokenizer() -> str:
@@ -21,6 +21,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *(f"quality.{c}" for c in (*quality.STATS, "base_failed", "kept")))
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.report(spark.read.parquet(f"{sf_dir}/documents.parquet"), minhash.Params(width=2))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -36,6 +40,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
+        "op2_minhash": op2_minhash,
         "op4_language": op4_language,
         "op9_sharding": op9_sharding,
         "op10_bpe": op10_bpe,
@@ -45,4 +50,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality": quality.ORACLE,
+        "op2_minhash": minhash.ORACLE,
     }
