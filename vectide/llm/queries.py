@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vectide.llm import bpe, langid, minhash, quality, sharding
+from vectide.llm import bpe, langid, linededup, minhash, quality, sharding
 
 
 def _tokenizer() -> str:
@@ -29,6 +30,12 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linededup.deduplicate(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    text = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    return kept.select("doc_id", F.col("lines.n").alias("n_lines"), F.col("lines.removed").alias("n_removed"), text.alias("text_md5"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(spark.read.parquet(f"{sf_dir}/documents.parquet"), 8)
 
@@ -42,6 +49,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality": op1_quality,
         "op2_minhash": op2_minhash,
         "op4_language": op4_language,
+        "op6_lines": op6_lines,
         "op9_sharding": op9_sharding,
         "op10_bpe": op10_bpe,
     }
@@ -51,4 +59,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality": quality.ORACLE,
         "op2_minhash": minhash.ORACLE,
+        "op6_lines": linededup.ORACLE,
     }
