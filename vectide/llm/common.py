@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 #: A word is a longest run of characters other than blank and \t \n \v \f \r.
 BLANKS = "\t\n\x0b\x0c\r"
 
+#: Settings while a table is written: once it is there, nothing reads the shuffle files that led to it; and rows that hold
+#: whole texts or sets go to Python a few at a time, so that long ones fit.
+WHILE_SAVING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "256"}
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; only where it is unset, a temporary one (tests, local mode)."""
@@ -29,13 +33,14 @@ def save(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(clean, "false")
-    spark.conf.set(clean, "true")  # once the table is written, nothing reads the shuffle files that led to it
+    before = {k: spark.conf.get(k) for k in WHILE_SAVING}
+    for k, v in WHILE_SAVING.items():
+        spark.conf.set(k, v)
     try:
         (df.coalesce(partitions) if partitions else df).write.parquet(path)
     finally:
-        spark.conf.set(clean, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
