@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectide.llm import bpe, langid, linededup, minhash, quality, sharding
+from vectide.llm import bpe, langid, linededup, minhash, mixing, quality, sharding, substring
 
 
 def _tokenizer() -> str:
@@ -26,10 +26,21 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.report(spark.read.parquet(f"{sf_dir}/documents.parquet"), minhash.Params(width=2))
 
 
+def op3_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring.remove_repeated(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    text = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    return kept.select("doc_id", F.col("spans.n").alias("n_sentences"), F.col("spans.removed").alias("n_removed"), "spans.removed_words", text.alias("text_md5"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return mixing.choose(docs, mixing.PRODUCTION, mixing.domain_of(F.col("source")))
+
+
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = linededup.deduplicate(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     text = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
@@ -48,7 +59,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
         "op2_minhash": op2_minhash,
+        "op3_spans": op3_spans,
         "op4_language": op4_language,
+        "op5_mixing": op5_mixing,
         "op6_lines": op6_lines,
         "op9_sharding": op9_sharding,
         "op10_bpe": op10_bpe,
@@ -59,5 +72,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality": quality.ORACLE,
         "op2_minhash": minhash.ORACLE,
+        "op3_spans": substring.ORACLE,
+        "op5_mixing": mixing.ORACLE,
         "op6_lines": linededup.ORACLE,
     }
