@@ -11,8 +11,10 @@ from vectide.llm.common import BLANKS, drop, let, save
 BUCKETS = 1 << 14
 #: Bits of the table that says which lines may be needed for verification (fixed size; false hits only cost time).
 FILTER_BITS = 1 << 22
-#: A token that starts more lines than this is compared with its first line before the rest.
-HOT = 48
+#: A token that starts more lines than this is compared with a few of them before the rest.
+HOT = 16
+#: How many more lines of such a token, spread by hash, are compared with all others before the rest.
+ANCHORS = 6
 
 
 def tokens(line: Column) -> Column:
@@ -29,7 +31,7 @@ def exploded(docs: DataFrame, key: str, text: str) -> DataFrame:
 def frequency_classes(docs: DataFrame, text: str) -> Column:
     """Array literal: for each hash bucket of tokens, a class that grows with the bucket's count over all rows."""
     plain = F.translate(F.col(text), BLANKS + "\n", " " * (len(BLANKS) + 1))
-    counted = docs.select(F.explode(F.split(plain, " ")).alias("t")).select(F.pmod(F.xxhash64("t"), F.lit(BUCKETS)).cast("int").alias("b"))
+    counted = docs.select(F.explode(F.split(plain, " ")).alias("t")).select(F.xxhash64("t").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b"))
     classes = [0] * BUCKETS
     for b, c in counted.groupBy("b").count().select("b", (F.log2("count") * 2).cast("int")).collect():
         classes[b] = c
@@ -39,10 +41,15 @@ def frequency_classes(docs: DataFrame, text: str) -> Column:
 def ranked(line: Column, classes: Column) -> Column:
     """The line's token set as sorted longs: frequency class first, then hash, so that rare tokens come first everywhere alike."""
 
-    def code(t: Column) -> Column:
-        return let(F.xxhash64(t), lambda h: F.shiftleft(F.get(classes, F.pmod(h, F.lit(BUCKETS)).cast("int")).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1))))
+    def code(h: Column) -> Column:
+        kind = F.get(classes, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long")
+        return F.shiftleft(kind, 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
 
-    return F.sort_array(F.transform(tokens(line), code))
+    return F.sort_array(F.transform(F.transform(tokens(line), lambda t: F.xxhash64(t)), code))
+
+
+def _has_word(line: Column) -> Column:
+    return F.trim(F.translate(line, BLANKS, " " * len(BLANKS))) != ""
 
 
 def _prefix(n: Column, similarity: int) -> Column:
@@ -56,12 +63,17 @@ def _short_prefix(n: Column, similarity: int) -> Column:
 
 
 def _may_match(x: str, y: str, similarity: int) -> Column:
-    """Length, prefix and positional filters on two postings (n: set size, i: place of the shared token from 1)."""
+    """Length, prefix, positional and bitmap filters on two postings (n: set size, i: place of the shared token from 1).
+
+    bits has a bit for each token's hash; every bit that differs stands for a token that only one set has.
+    """
     n, m, i, j = F.col(f"{x}.n"), F.col(f"{y}.n"), F.col(f"{x}.i"), F.col(f"{y}.i")
     length = F.least(n, m) * 100 >= F.greatest(n, m) * similarity
     short = ((n <= m) & (i <= _short_prefix(n, similarity))) | ((m <= n) & (j <= _short_prefix(m, similarity)))
     place = (1 + F.least(n - i, m - j)) * (100 + similarity) >= (n + m) * similarity
-    return length & short & place
+    differ = F.bit_count(F.col(f"{x}.bits").bitwiseXOR(F.col(f"{y}.bits")))
+    few = (n + m - differ) * (100 + similarity) >= (n + m) * (2 * similarity)
+    return length & few & short & place
 
 
 def later_matches(docs: DataFrame, similarity: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -72,27 +84,35 @@ def later_matches(docs: DataFrame, similarity: int = 80, key: str = "doc_id", te
 
     Lines with equal sets form one class, represented by its first line; all others of it are later matches. Only the first
     tokens of each class (rarest first, over the whole corpus) are exchanged; tokens that one class alone has are dropped. Where a
-    token starts more than HOT classes, these are first compared with the first of them; only what is left over is compared with
-    all, so groups of near copies do not meet as all pairs. Candidates are verified on their full sets.
+    token starts more than HOT classes, these are first compared with the first of them and a few others; only what has no match by
+    then is compared with all earlier ones, so groups of near copies do not meet as all pairs. Candidates are verified on their full sets.
     """
     docs = docs.select(F.col(key), F.col(text))
     classes = frequency_classes(docs, text)
-    lines = exploded(docs, key, text).select("doc", "pos", ranked(F.col("line"), classes).alias("s")).where(F.size("s") > 0)
-    n = F.size("s")
-    flat = save(
-        lines.select(
-            "doc", "pos", F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(1), F.reverse("s")).alias("h2"), n.alias("n"), F.slice("s", F.lit(1), _prefix(n, similarity)).alias("p")
-        ),
-        "lines",
-    )
-    first = save(flat.groupBy("h1", "h2").agg(F.min(F.struct("doc", "pos", "n", "p")).alias("m")).select("h1", "h2", "m.*"), "line-classes")
-    where = F.struct("doc", "pos")
-    posts = first.select("doc", "pos", F.col("n"), F.posexplode("p").alias("i", "t")).select("t", "doc", "pos", "n", (F.col("i") + 1).alias("i"))
-    shared = posts.groupBy("t").agg(F.min(where).alias("a"), F.max(where).alias("z"), F.count("*").alias("c")).where("a < z").select("t", "c")
+    one_bit = lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int")))
+
+    def facts(s: Column) -> Column:
+        n = F.size(s)
+        return F.struct(
+            F.xxhash64(s).alias("h1"),
+            F.xxhash64(F.lit(1), F.reverse(s)).alias("h2"),
+            n.alias("n"),
+            F.aggregate(s, F.lit(0).cast("long"), one_bit).alias("bits"),
+            F.slice(s, F.lit(1), _prefix(n, similarity)).alias("p"),
+        )
+
+    lines = exploded(docs, key, text).where(_has_word(F.col("line"))).select("doc", "pos", let(ranked(F.col("line"), classes), facts).alias("f"))
+    flat = save(lines.select("doc", "pos", "f.*"), "lines")
+    first = save(flat.groupBy("h1", "h2").agg(F.min(F.struct("doc", "pos", "n", "bits", "p")).alias("m")).select("h1", "h2", "m.*"), "line-classes")
+    posts = first.select("doc", "pos", "n", "bits", F.posexplode("p").alias("i", "t")).select("t", "doc", "pos", "n", (F.col("i") + 1).alias("i"), "bits")
+    shared = posts.groupBy("t").agg(F.count("*").alias("c")).where("c > 1")
     live = save(posts.join(shared, "t"), "line-postings")
 
     hot = live.where(F.col("c") > HOT)
-    anchor = hot.groupBy("t").agg(F.min(F.struct("doc", "pos", "n", "i")).alias("m")).select("t", "m.*")
+    post = F.struct("doc", "pos", "n", "i", "bits")
+    spread = [F.min(F.struct(F.xxhash64(F.lit(k), "doc", "pos").alias("h"), post.alias("m"))).alias(f"a{k}") for k in range(ANCHORS)]
+    anchor = hot.groupBy("t").agg(F.min(post).alias("m"), *spread)
+    anchor = anchor.select("t", F.explode(F.array_distinct(F.array("m", *(F.col(f"a{k}.m") for k in range(ANCHORS))))).alias("m")).select("t", "m.*")
     one = _pairs(hot.alias("y").join(anchor.alias("x"), (F.col("x.t") == F.col("y.t")) & _before("x", "y") & _may_match("x", "y", similarity)))
     done = save(_verified(docs, one, classes, similarity, key, text), "line-matches")
     left = live.join(done, ["doc", "pos"], "left_anti")
