@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectide.llm import bpe, langid, linededup, minhash, mixing, quality, sharding, substring
+from vectide.llm import bpe, langid, linededup, minhash, mixing, quality, sharding, substring, vecdedup
 
 
 def _tokenizer() -> str:
@@ -47,6 +47,10 @@ def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.col("lines.n").alias("n_lines"), F.col("lines.removed").alias("n_removed"), text.alias("text_md5"))
 
 
+def op8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vecdedup.report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(spark.read.parquet(f"{sf_dir}/documents.parquet"), 8)
 
@@ -63,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_language": op4_language,
         "op5_mixing": op5_mixing,
         "op6_lines": op6_lines,
+        "op8_vectors": op8_vectors,
         "op9_sharding": op9_sharding,
         "op10_bpe": op10_bpe,
     }
@@ -75,4 +80,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_spans": substring.ORACLE,
         "op5_mixing": mixing.ORACLE,
         "op6_lines": linededup.ORACLE,
+        "op8_vectors": vecdedup.ORACLE,
     }
