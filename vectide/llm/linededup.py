@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,10 @@ HOT = 16
 #: How many more lines of such a token, spread by hash, are compared with all others before the rest.
 ANCHORS = 6
 
+#: Longs in the bitmap of a longer line.
+MAPS = 4
+BITS = [f"b{k}" for k in range(MAPS)]
+
 
 def tokens(line: Column) -> Column:
     """Distinct tokens of a line; none if it has no word."""
@@ -65,13 +71,18 @@ def _short_prefix(n: Column, similarity: int) -> Column:
 def _may_match(x: str, y: str, similarity: int) -> Column:
     """Length, prefix, positional and bitmap filters on two postings (n: set size, i: place of the shared token from 1).
 
-    bits has a bit for each token's hash; every bit that differs stands for a token that only one set has.
+    A bit stands for the hashes of tokens; every bit that differs stands for a token that only one set has. Sets of at most 64
+    tokens use one long, others MAPS of them, which give the short map when folded.
     """
     n, m, i, j = F.col(f"{x}.n"), F.col(f"{y}.n"), F.col(f"{x}.i"), F.col(f"{y}.i")
     length = F.least(n, m) * 100 >= F.greatest(n, m) * similarity
     short = ((n <= m) & (i <= _short_prefix(n, similarity))) | ((m <= n) & (j <= _short_prefix(m, similarity)))
     place = (1 + F.least(n - i, m - j)) * (100 + similarity) >= (n + m) * similarity
-    differ = F.bit_count(F.col(f"{x}.bits").bitwiseXOR(F.col(f"{y}.bits")))
+    bits = lambda z: [F.col(f"{z}.b{k}") for k in range(MAPS)]
+    folded = lambda z: functools.reduce(lambda u, v: u.bitwiseOR(v), bits(z))
+    apart = lambda u, v: F.bit_count(u.bitwiseXOR(v))
+    wide = sum((apart(u, v) for u, v in zip(bits(x)[1:], bits(y)[1:])), apart(bits(x)[0], bits(y)[0]))
+    differ = F.when((n > 64) & (m > 64), wide).when((n <= 64) & (m <= 64), apart(bits(x)[0], bits(y)[0])).otherwise(apart(folded(x), folded(y)))
     few = (n + m - differ) * (100 + similarity) >= (n + m) * (2 * similarity)
     return length & few & short & place
 
@@ -90,6 +101,13 @@ def later_matches(docs: DataFrame, similarity: int = 80, key: str = "doc_id", te
     docs = docs.select(F.col(key), F.col(text))
     classes = frequency_classes(docs, text)
     one_bit = lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int")))
+    zero = F.lit(0).cast("long")
+
+    def bitmap(s: Column, k: int) -> Column:
+        """The k-th long: of all tokens for a short set, else of those whose hash names it."""
+        part = F.filter(s, lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(MAPS - 1)) == k)
+        long = F.aggregate(part, zero, one_bit)
+        return F.when(F.size(s) > 64, long).otherwise(F.aggregate(s, zero, one_bit) if k == 0 else zero)
 
     def facts(s: Column) -> Column:
         n = F.size(s)
@@ -97,19 +115,19 @@ def later_matches(docs: DataFrame, similarity: int = 80, key: str = "doc_id", te
             F.xxhash64(s).alias("h1"),
             F.xxhash64(F.lit(1), F.reverse(s)).alias("h2"),
             n.alias("n"),
-            F.aggregate(s, F.lit(0).cast("long"), one_bit).alias("bits"),
+            *(bitmap(s, k).alias(f"b{k}") for k in range(MAPS)),
             F.slice(s, F.lit(1), _prefix(n, similarity)).alias("p"),
         )
 
     lines = exploded(docs, key, text).where(_has_word(F.col("line"))).select("doc", "pos", let(ranked(F.col("line"), classes), facts).alias("f"))
     flat = save(lines.select("doc", "pos", "f.*"), "lines")
-    first = save(flat.groupBy("h1", "h2").agg(F.min(F.struct("doc", "pos", "n", "bits", "p")).alias("m")).select("h1", "h2", "m.*"), "line-classes")
-    posts = first.select("doc", "pos", "n", "bits", F.posexplode("p").alias("i", "t")).select("t", "doc", "pos", "n", (F.col("i") + 1).alias("i"), "bits")
+    first = save(flat.groupBy("h1", "h2").agg(F.min(F.struct("doc", "pos", "n", *BITS, "p")).alias("m")).select("h1", "h2", "m.*"), "line-classes")
+    posts = first.select("doc", "pos", "n", *BITS, F.posexplode("p").alias("i", "t")).select("t", "doc", "pos", "n", (F.col("i") + 1).alias("i"), *BITS)
     shared = posts.groupBy("t").agg(F.count("*").alias("c")).where("c > 1")
     live = save(posts.join(shared, "t"), "line-postings")
 
     hot = live.where(F.col("c") > HOT)
-    post = F.struct("doc", "pos", "n", "i", "bits")
+    post = F.struct("doc", "pos", "n", "i", *BITS)
     spread = [F.min(F.struct(F.xxhash64(F.lit(k), "doc", "pos").alias("h"), post.alias("m"))).alias(f"a{k}") for k in range(ANCHORS)]
     anchor = hot.groupBy("t").agg(F.min(post).alias("m"), *spread)
     anchor = anchor.select("t", F.explode(F.array_distinct(F.array("m", *(F.col(f"a{k}.m") for k in range(ANCHORS))))).alias("m")).select("t", "m.*")

@@ -8,9 +8,9 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import LongType
 
 from vectide.llm.common import components, drop, save
 
@@ -24,7 +24,7 @@ class Params:
     """width: words in a shingle. similarity: least Jaccard similarity in per cent. bands x rows minima are computed.
 
     With 32 bands of 4, a pair at 80 per cent shares no band with probability (1 - 0.8 ** 4) ** 32 = 5e-8.
-    slack: standard deviations below the threshold at which an estimate is still confirmed on the full sets.
+    slack: standard deviations, at most, by which an estimate may be low where it decides that a pair is not confirmed on full sets.
     """
 
     width: int = 5
@@ -34,13 +34,6 @@ class Params:
     slack: float = 6.0
     seed: int = 1
 
-    @property
-    def least_equal(self) -> int:
-        """Equal b-bit values that a candidate needs: the expectation at the threshold, corrected for collisions, less the slack."""
-        n, c = self.bands * self.rows, 2.0**-BITS
-        p = c + (1 - c) * self.similarity / 100
-        return int(np.floor(n * p - self.slack * np.sqrt(n * p * (1 - p))))
-
 
 class _Words(dict):
     """64-bit hashes of words, remembered; emptied when full."""
@@ -142,25 +135,34 @@ def estimate(equal: Column, p: Params) -> Column:
     return (equal / F.lit(float(p.bands * p.rows)) - c) / (1 - c)
 
 
-@F.pandas_udf(BooleanType())
-def _linked(x: pd.Series, y: pd.Series, least: pd.Series) -> pd.Series:
+@F.pandas_udf(LongType())
+def _common(x: pd.Series, y: pd.Series) -> pd.Series:
     out = []
-    for s, t, q in zip(x, y, least):
-        s, t = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
-        both = np.sort(np.concatenate([s, t]), kind="stable")
-        common = int((both[1:] == both[:-1]).sum())
-        out.append(100 * common >= q * (len(both) - common))
-    return pd.Series(out)
+    for s, t in zip(x, y):
+        both = np.concatenate([np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)])
+        both.sort(kind="stable")
+        out.append(int((both[1:] == both[:-1]).sum()))
+    return pd.Series(out, dtype="int64")
+
+
+#: A bucket with more members than this is compared with a few spread members of it besides its smallest.
+LARGE = 8
+ANCHORS = 6
+#: Anchors, the most alike by estimate, that a member is compared with in round one.
+TRIES = 4
 
 
 def link(docs: DataFrame, p: Params, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs: the components of all links at p.similarity per cent or more.
 
     Equal sets are one class from the start, so copies never meet as pairs. Classes that share a band are candidates.
-    Round one compares each class with the smallest member of each of its buckets; round two compares members of a bucket that
-    are in different components by then, less those already compared. So every candidate pair is either confirmed or refuted on
-    full sets, or lies inside one component, where a link changes nothing; what is compared does not grow with the square of a
-    group of near copies. Candidates whose b-bit estimate is out of reach of the threshold are not confirmed.
+    Round one compares each class with anchors of its buckets, and gives it the nearest anchor it is linked with as a centre, at an
+    exactly known distance; a class without one is its own centre. Round two takes the pairs of centres that meet in a bucket and are
+    in different components; those that are linked join. Jaccard distance is a metric: members a and b of centres A and B can be linked only if
+    d(A, B) <= d(a, A) + d(b, B) + 0.2, so most pairs of centres that are still apart are settled at once, and only members far enough
+    out are compared one by one. So no candidate pair across components is left open, inside one a link changes nothing, and what is
+    compared does not grow with the square of a group of near copies. Pairs whose b-bit estimate is out of reach of what would
+    matter are not confirmed on full sets.
 
     Texts without words: n_shingles 0, component_id their own id. A row with a null id keeps a null component unless an equal
     text has an id. Rows with one id are one document. An empty table gives no rows.
@@ -171,24 +173,23 @@ def link(docs: DataFrame, p: Params, key: str = "doc_id", text: str = "text") ->
     )
     reps = save(classes.select(F.col("m.doc_id").alias("id"), "k1", "k2", F.col("m.n_shingles").alias("n"), "m.sig", "m.bands"), "minhash-reps")
     in_band = reps.select("id", F.explode("bands").alias("band"))
-    buckets = in_band.groupBy("band").agg(F.min("id").alias("anchor"), F.max("id").alias("other")).where("anchor < other").select("band", "anchor")
+    buckets = in_band.groupBy("band").agg(F.min("id").alias("anchor"), F.count("*").alias("size")).where("size > 1")
     members = save(in_band.join(buckets, "band"), "minhash-members")
     facts = reps.select("id", "n", "sig")
+    least = p.similarity / 100
+    slack = p.slack * float(np.sqrt(0.25 / (p.bands * p.rows))) / (1 - 2.0**-BITS)
 
-    def candidates(pairs: DataFrame) -> DataFrame:
-        """Adds equal lanes to pairs (a, b) and keeps those that may be links."""
+    def estimated(pairs: DataFrame) -> DataFrame:
+        """pairs with the set sizes na and nb and the estimated similarity."""
         x = facts.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
         y = facts.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
-        out = pairs.join(x, "a").join(y, "b").withColumn("equal", equal_lanes(F.col("sa"), F.col("sb"), p))
-        fits = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * p.similarity) & (F.col("equal") >= p.least_equal)
-        return out.where(fits).select("a", "b", "equal")
+        out = pairs.join(x, "a").join(y, "b").withColumn("est", estimate(equal_lanes(F.col("sa"), F.col("sb"), p), p))
+        return out.drop("sa", "sb")
 
-    def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        x = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
-        y = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
-        return pairs.join(x, "a").join(y, "b").where(_linked("sa", "sb", F.lit(p.similarity))).select("a", "b")
+    within_reach = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * p.similarity) & (F.col("est") >= least - slack)
 
-    def full_sets(pairs: DataFrame) -> DataFrame:
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """pairs (a, b, na, nb) with the exact distance d and whether they are linked."""
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
         width = p.width
 
@@ -197,28 +198,65 @@ def link(docs: DataFrame, p: Params, key: str = "doc_id", text: str = "text") ->
                 yield pd.DataFrame({"id": pdf["id"], "s": [shingles(t, width).tobytes() for t in pdf["t"]]})
 
         texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).join(ids, "id", "left_semi")
-        return texts.mapInPandas(run, "id long, s binary")
-
-    first = save(candidates(members.where("id != anchor").select(F.col("anchor").alias("a"), F.col("id").alias("b")).distinct()), "minhash-first")
-    sets = save(full_sets(first), "minhash-sets")
-    edges = save(confirmed(first.select("a", "b"), sets), "minhash-edges")
+        sets = save(texts.mapInPandas(run, "id long, s binary"), "minhash-sets")
+        x = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
+        y = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
+        both = pairs.join(x, "a").join(y, "b").withColumn("c", _common("sa", "sb")).drop("sa", "sb")
+        union = F.col("na") + F.col("nb") - F.col("c")
+        out = save(both.withColumns({"d": 1 - F.col("c") / union, "linked": F.col("c") * 100 >= union * p.similarity}), "minhash-confirmed")
+        drop(sets)
+        return out
+
+    # round one: members and anchors
+    spread = [F.min(F.struct(F.xxhash64(F.lit(k), "id").alias("h"), "id"))["id"].alias(f"a{k}") for k in range(ANCHORS)]
+    more = members.where(F.col("size") > LARGE).groupBy("band").agg(*spread)
+    more = more.select("band", F.explode(F.array_distinct(F.array(*(f"a{k}" for k in range(ANCHORS))))).alias("a"))
+    star = members.select("band", F.col("anchor").alias("a")).distinct().union(more).join(members.select("band", F.col("id").alias("b")), "band")
+    first = estimated(star.where("a != b").select("a", "b").distinct()).where(within_reach)
+    nearest = Window.partitionBy("b").orderBy(F.desc("est"), "a")
+    first = save(first.withColumn("k", F.row_number().over(nearest)).where(F.col("k") <= TRIES).select("a", "b", "na", "nb"), "minhash-first")
+    tried = confirmed(first)
+    edges = tried.where("linked").select("a", "b")
+    chosen = tried.where("linked").groupBy("b").agg(F.min(F.struct("d", "a")).alias("m")).select(F.col("b").alias("id"), F.col("m.a").alias("centre"), F.col("m.d").alias("d"))
+    used = chosen.select(F.col("centre").alias("id")).distinct()
+    own = used.select("id", F.col("id").alias("centre"), F.lit(0.0).alias("d"))
+    chosen = save(chosen.join(used, "id", "left_anti").union(own), "minhash-centres")
+    radius = chosen.groupBy("centre").agg(F.max("d").alias("r"))
     found = components(edges)
-    # round two: pairs of a bucket across components
-    placed = members.join(found, "id", "left").select("band", "id", F.coalesce("component", "id").alias("c"))
+    # round two: centres of different components that meet in a bucket
+    placed = members.select("band", "id").join(chosen.select("id", "centre"), "id", "left").select("band", F.coalesce("centre", "id").alias("centre")).distinct()
+    placed = placed.join(found.select(F.col("id").alias("centre"), "component"), "centre", "left").select("band", "centre", F.coalesce("component", "centre").alias("comp"))
     placed = save(placed, "minhash-placed")
-    open_bands = placed.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("band")
-    placed = placed.join(open_bands, "band")
-    body = placed.groupBy("band", "c").agg(F.count("*").alias("m")).groupBy("band").agg(F.max(F.struct("m", "c"))["c"].alias("body"))
-    minor = placed.join(body, "band").where("c != body").select("band", F.col("id").alias("i"), F.col("c").alias("ci"))
-    across = minor.join(placed, (minor.band == placed.band) & (F.col("ci") != F.col("c"))).select(F.least("i", "id").alias("a"), F.greatest("i", "id").alias("b"))
-    across = across.distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
-    second = save(candidates(across), "minhash-second")
+    open_bands = placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
+    x = placed.join(open_bands, "band").select("band", F.col("centre").alias("a"), F.col("comp").alias("ca"))
+    y = x.select("band", F.col("a").alias("b"), F.col("ca").alias("cb"))
+    meet = x.join(y, (x.band == y.band) & (F.col("ca") < F.col("cb"))).select("a", "b").distinct()
+    far = lambda c: F.coalesce(c, F.lit(0.0))
+    reach = lambda df: df.join(radius.select(F.col("centre").alias("a"), F.col("r").alias("ra")), "a", "left").join(radius.select(F.col("centre").alias("b"), F.col("r").alias("rb")), "b", "left")
+    second = reach(estimated(meet)).withColumn("out", far(F.col("ra")) + far(F.col("rb")))
+    alone = (F.col("out") > 0) | (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * p.similarity)
+    second = save(second.where(alone & (F.col("est") >= least - slack - F.col("out"))).select("a", "b", "na", "nb", "out"), "minhash-second")
     if second.limit(1).count():
-        more = save(full_sets(second), "minhash-sets")
-        late = save(confirmed(second.select("a", "b"), more), "minhash-edges")
-        drop(more)
-        found = components(found.where("id != component").select(F.col("id").alias("a"), F.col("component").alias("b")).union(late))
-    drop(first, sets, edges, second, members)
+        met = confirmed(second)
+        edges = edges.union(met.where("linked").select("a", "b"))
+        found = components(edges)
+        at = lambda c: found.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
+        met = met.join(at("a"), "a", "left").join(at("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+        open_pairs = met.where(~F.col("linked") & (F.col("out") > 0) & (F.col("d") <= (1 - least) + F.col("out") + 1e-9)).select(F.col("a").alias("ca"), F.col("b").alias("cb"), F.col("d").alias("dc"))
+        radius_most = 1 - least  # linked members are this far from their centre at most
+        u = chosen.select(F.col("centre").alias("ca"), F.col("id").alias("a"), F.col("d").alias("da"))
+        v = chosen.select(F.col("centre").alias("cb"), F.col("id").alias("b"), F.col("d").alias("db"))
+        solo = lambda df, c, i, d: df.select(F.col(c), F.col(c).alias(i), F.lit(0.0).alias(d)).distinct()
+        u = u.union(solo(open_pairs.join(u, "ca", "left_anti"), "ca", "a", "da"))
+        v = v.union(solo(open_pairs.join(v, "cb", "left_anti"), "cb", "b", "db"))
+        left = open_pairs.join(u, "ca").where(F.col("dc") <= (1 - least) + F.col("da") + radius_most + 1e-9)
+        cross = left.alias("l").join(v.alias("v"), (F.col("l.cb") == F.col("v.cb")) & (F.col("dc") <= (1 - least) + F.col("da") + F.col("db") + 1e-9))
+        third = cross.where("a != ca or b != v.cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        third = save(estimated(third).where(within_reach).select("a", "b", "na", "nb"), "minhash-third")
+        if third.limit(1).count():
+            late = confirmed(third).where("linked").select("a", "b")
+            found = components(found.where("id != component").select(F.col("id").alias("a"), F.col("component").alias("b")).union(late))
+    drop(first, second, members, placed)
     of_class = reps.select("k1", "k2", "id").join(found, "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("c"))
     out = sig.select("doc_id", "n_shingles", "k1", "k2").join(of_class, ["k1", "k2"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))

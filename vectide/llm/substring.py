@@ -25,65 +25,76 @@ def _n_words(bare: Column) -> Column:
     return F.length(bare) - F.length(F.translate(bare, " ", "")) + 1
 
 
-def spans(docs: DataFrame, run: int, min_words: int, key: str, text: str) -> DataFrame:
-    """(doc, i, h1, h2, places): each run of `run` consecutive sentences that have a word, with the sentences' places in the text."""
-    bare = F.filter(F.transform(sentences(F.col(text)), lambda x, i: F.struct(_bare(x).alias("b"), i.alias("i"))), lambda x: x["b"] != "")
+def _has_word(piece: Column) -> Column:
+    return F.trim(F.translate(piece, BLANKS, " " * len(BLANKS))) != ""
+
+
+def runs_of(docs: DataFrame, run: int, min_words: int, key: str, text: str) -> DataFrame:
+    """(doc, i, h1, h2): each run of `run` consecutive sentences that have a word; i is the first one's number among those."""
 
     def runs(s: Column) -> Column:
         starts = F.slice(s, F.lit(1), F.greatest(F.size(s) - (run - 1), F.lit(0)))
-        parts = [lambda k, j=j: F.get(s, k + j) for j in range(run)]
+        parts = lambda k: [F.get(s, k + j) for j in range(run)]
         made = F.transform(
             starts,
             lambda _, k: F.struct(
-                F.xxhash64(*(p(k)["b"] for p in parts)).alias("h1"),
-                F.xxhash64(F.lit(run), *(p(k)["b"] for p in reversed(parts))).alias("h2"),
-                F.array(*(p(k)["i"] for p in parts)).alias("places"),
-                sum((_n_words(p(k)["b"]) for p in parts), F.lit(0)).alias("n"),
+                k.alias("i"),
+                F.xxhash64(*(x["h"] for x in parts(k))).alias("h1"),
+                F.xxhash64(F.lit(run), *(x["h"] for x in reversed(parts(k)))).alias("h2"),
+                sum((x["n"] for x in parts(k)), F.lit(0)).alias("n"),
             ),
         )
         return F.filter(made, lambda x: x["n"] >= min_words)
 
-    made = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.explode(let(bare, runs)).alias("r"))
-    return made.select("doc", F.get("r.places", F.lit(0)).alias("i"), "r.h1", "r.h2", "r.places")
+    bare = F.transform(F.filter(sentences(F.col(text)), _has_word), _bare)
+    hashed = F.transform(bare, lambda b: F.struct(F.md5(b.cast("binary")).alias("h"), _n_words(b).alias("n")))
+    made = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.explode(let(hashed, runs)).alias("r"))
+    return made.select("doc", "r.i", "r.h1", "r.h2")
 
 
 def repeated(docs: DataFrame, run: int = 3, min_words: int = 8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, place) of each sentence that lies in a run found before, in the order of (doc, place). The first occurrence stays.
+    """(doc, i) of each sentence that lies in a run found before, in the order of (doc, i). The first occurrence stays.
 
-    Runs with fewer than min_words words recur by chance and are left alone. Rows with one key are one document; null keys,
-    null and empty texts and texts with fewer sentences than a run have no runs. Two hashes of 64 bits stand for a run.
+    i numbers a text's sentences that have a word, from 0. Runs with fewer than min_words words recur by chance and are left
+    alone. Rows with one key are one document; null keys, null and empty texts and texts with fewer sentences than a run have no
+    runs. Two hashes of 64 bits stand for a run. Runs are counted by one of them, pre-aggregated; only runs whose hash recurs
+    are looked at further, so the passages of the whole corpus are exchanged once, as numbers.
     """
-    all_runs = spans(docs.select(key, text), run, min_words, key, text)
-    first = all_runs.groupBy("h1", "h2").agg(F.min(F.struct("doc", "i")).alias("lo"), F.max(F.struct("doc", "i")).alias("hi")).where("lo < hi")
-    first = save(first.select("h1", "h2", F.col("lo.doc").alias("d"), F.col("lo.i").alias("j")), "spans")
-    later = all_runs.join(first, ["h1", "h2"]).where("doc != d or i != j")
-    out = save(later.select("doc", F.explode("places").alias("place")).distinct(), "span-places")
-    drop(first)
+    made = save(runs_of(docs.select(key, text), run, min_words, key, text), "runs")
+    again = made.groupBy("h1").agg(F.count("*").alias("n")).where("n > 1").select("h1")
+    some = save(made.join(again, "h1").select("doc", "i", "h1", "h2"), "runs-again")
+    drop(made)
+    first = some.groupBy("h1", "h2").agg(F.min(F.struct("doc", "i")).alias("lo")).select("h1", "h2", F.col("lo.doc").alias("d"), F.col("lo.i").alias("j"))
+    later = some.join(first, ["h1", "h2"]).where("doc != d or i != j")
+    out = save(later.select("doc", F.explode(F.sequence("i", F.col("i") + (run - 1))).alias("i")).distinct(), "runs-later")
+    drop(some)
     return out
 
 
 def remove_repeated(docs: DataFrame, run: int = 3, min_words: int = 8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with repeated passages taken out of `text`, and a struct column `spans` (n: sentences, removed, removed_words).
 
-    Rows without such a passage, and rows with a null key or text, keep their text as it is; n counts pieces with a word.
+    Rows without such a passage, and rows with a null key or text, keep their text as it is; n counts sentences with a word.
     """
-    gone = repeated(docs, run, min_words, key, text).groupBy("doc").agg(F.collect_set("place").alias("__gone")).withColumnRenamed("doc", "__doc")
+    gone = repeated(docs, run, min_words, key, text).groupBy("doc").agg(F.collect_set("i").alias("__gone")).withColumnRenamed("doc", "__doc")
     joined = docs.join(gone, docs[key].cast("long") == F.col("__doc"), "left")
+
+    def cut(s: Column) -> Column:
+        full = F.filter(F.transform(s, lambda x, i: F.when(_has_word(x), i)), lambda i: i.isNotNull())
+
+        def without(places: Column) -> Column:
+            words_gone = F.aggregate(F.transform(places, lambda i: _n_words(_bare(F.get(s, i)))), F.lit(0), lambda a, x: a + x)
+            kept = F.filter(s, lambda _, i: ~F.array_contains(places, i))
+            return F.struct(F.array_join(kept, "").alias("t"), F.size("__gone").alias("r"), words_gone.alias("w"))
+
+        return let(full, lambda f: let(F.transform(F.col("__gone"), lambda k: F.get(f, k)), without))
+
     pieces = sentences(F.col(text))
-    n_full = lambda s: F.size(F.filter(s, lambda x: F.trim(F.translate(x, BLANKS, " " * len(BLANKS))) != ""))
-    same = F.struct(F.col(text).alias("t"), n_full(pieces).alias("n"), F.lit(0).alias("r"), F.lit(0).alias("w"))
-    hit = lambda i: F.array_contains(F.col("__gone"), i)
-    cut = let(
-        pieces,
-        lambda s: F.struct(
-            F.array_join(F.filter(s, lambda _, i: ~hit(i)), "").alias("t"),
-            n_full(s).alias("n"),
-            F.size("__gone").alias("r"),
-            F.aggregate(F.transform(s, lambda x, i: F.when(hit(i), _n_words(_bare(x))).otherwise(0)), F.lit(0), lambda a, x: a + x).alias("w"),
-        ),
-    )
-    out = joined.withColumn("__f", F.when(F.col("__gone").isNull(), same).otherwise(cut))
-    n = F.struct(F.greatest(F.coalesce("__f.n", F.lit(0)), F.lit(0)).cast("long").alias("n"), F.col("__f.r").cast("long").alias("removed"), F.col("__f.w").cast("long").alias("removed_words"))
+    same = F.struct(F.col(text).alias("t"), F.lit(0).alias("r"), F.lit(0).alias("w"))
+    found = F.when(F.col("__gone").isNull(), same).otherwise(let(pieces, cut))
+    total = F.greatest(F.coalesce(F.size(F.filter(pieces, _has_word)), F.lit(0)), F.lit(0))
+    out = joined.withColumns({"__f": found, "__n": total})
+    n = F.struct(F.col("__n").cast("long").alias("n"), F.col("__f.r").cast("long").alias("removed"), F.col("__f.w").cast("long").alias("removed_words"))
     return out.select(*(F.col("__f.t").alias(text) if c == text else F.col(c) for c in docs.columns), n.alias("spans"))
 
 
