@@ -21,7 +21,8 @@ LANES = 64 // BITS
 
 @dataclass(frozen=True)
 class Params:
-    """width: words in a shingle. similarity: least Jaccard similarity in per cent. bands x rows minima are computed.
+    """width: words in a shingle. similarity: least Jaccard similarity in per cent. minima: hash functions; the first bands x rows
+    of them make the bands, all make the signature.
 
     With 32 bands of 4, a pair at 80 per cent shares no band with probability (1 - 0.8 ** 4) ** 32 = 5e-8.
     slack: standard deviations, at most, by which an estimate may be low where it decides that a pair is not confirmed on full sets.
@@ -31,6 +32,7 @@ class Params:
     similarity: int = 80
     bands: int = 32
     rows: int = 4
+    minima: int = 256
     slack: float = 6.0
     seed: int = 1
 
@@ -82,7 +84,7 @@ def minima(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def signatures(docs: DataFrame, p: Params, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, k1, k2, sig, bands): k1 and k2 name the set, sig packs the low bits of all minima."""
-    n = p.bands * p.rows
+    n = p.minima
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rng = np.random.default_rng(p.seed)
@@ -104,7 +106,7 @@ def signatures(docs: DataFrame, p: Params, key: str = "doc_id", text: str = "tex
             sig = ((low & np.uint32((1 << BITS) - 1)).astype(np.uint64).reshape(len(pdf), -1, LANES) << place).sum(axis=2, dtype=np.uint64)
             band = np.broadcast_to(at, (len(pdf), p.bands)).copy()
             for r in range(p.rows):
-                band = _mix(band * _K[0] + low[:, r :: p.rows].astype(np.uint64) + _K[3])
+                band = _mix(band * _K[0] + low[:, r : p.bands * p.rows : p.rows].astype(np.uint64) + _K[3])
             yield pd.DataFrame(
                 {"doc_id": pdf["doc_id"].astype("Int64"), "n_shingles": size, "k1": k1, "k2": k2, "sig": list(sig.view(np.int64)), "bands": list(band.view(np.int64))}
             )
@@ -119,8 +121,8 @@ def equal_lanes(x: Column, y: Column, p: Params) -> Column:
     """How many retained values two signatures share, by bit counts: unequal ones leave a bit after folding."""
     ones = sum(1 << (BITS * k) for k in range(LANES))
     ones = F.lit(ones - (1 << 64) if ones >= 1 << 63 else ones)
-    total = F.lit(p.bands * p.rows)
-    for k in range(p.bands * p.rows // LANES):
+    total = F.lit(p.minima)
+    for k in range(p.minima // LANES):
         d = F.get(x, F.lit(k)).bitwiseXOR(F.get(y, F.lit(k)))
         fold = d
         for s in range(1, BITS):
@@ -132,7 +134,7 @@ def equal_lanes(x: Column, y: Column, p: Params) -> Column:
 def estimate(equal: Column, p: Params) -> Column:
     """Similarity that the equal values stand for, corrected for chance collisions of b bits."""
     c = 2.0**-BITS
-    return (equal / F.lit(float(p.bands * p.rows)) - c) / (1 - c)
+    return (equal / F.lit(float(p.minima)) - c) / (1 - c)
 
 
 @F.pandas_udf(LongType())
@@ -148,7 +150,9 @@ def _common(x: pd.Series, y: pd.Series) -> pd.Series:
 #: A bucket with more members than this is compared with a few spread members of it besides its smallest.
 LARGE = 8
 ANCHORS = 6
-#: Anchors, the most alike by estimate, that a member is compared with in round one.
+#: So many other ones for members that are linked with none of those.
+MORE = 18
+#: Anchors, the most alike by estimate, that a member is compared with on full sets.
 TRIES = 4
 
 
@@ -177,7 +181,8 @@ def link(docs: DataFrame, p: Params, key: str = "doc_id", text: str = "text") ->
     members = save(in_band.join(buckets, "band"), "minhash-members")
     facts = reps.select("id", "n", "sig")
     least = p.similarity / 100
-    slack = p.slack * float(np.sqrt(0.25 / (p.bands * p.rows))) / (1 - 2.0**-BITS)
+    equal = 2.0**-BITS + (1 - 2.0**-BITS) * least
+    slack = p.slack * float(np.sqrt(equal * (1 - equal) / p.minima)) / (1 - 2.0**-BITS)
 
     def estimated(pairs: DataFrame) -> DataFrame:
         """pairs with the set sizes na and nb and the estimated similarity."""
@@ -188,17 +193,20 @@ def link(docs: DataFrame, p: Params, key: str = "doc_id", text: str = "text") ->
 
     within_reach = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * p.similarity) & (F.col("est") >= least - slack)
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """pairs (a, b, na, nb) with the exact distance d and whether they are linked."""
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    def full_sets(ids: DataFrame) -> DataFrame:
+        """(id, s): the sorted shingle hashes of the wanted documents, made anew from their texts."""
         width = p.width
 
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in parts:
                 yield pd.DataFrame({"id": pdf["id"], "s": [shingles(t, width).tobytes() for t in pdf["t"]]})
 
-        texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).join(ids, "id", "left_semi")
-        sets = save(texts.mapInPandas(run, "id long, s binary"), "minhash-sets")
+        texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).join(ids.distinct(), "id", "left_semi")
+        return save(texts.mapInPandas(run, "id long, s binary").dropDuplicates(["id"]), "minhash-sets")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """pairs (a, b, na, nb) with the exact distance d and whether they are linked."""
+        sets = full_sets(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))))
         x = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
         y = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
         both = pairs.join(x, "a").join(y, "b").withColumn("c", _common("sa", "sb")).drop("sa", "sb")
@@ -207,15 +215,23 @@ def link(docs: DataFrame, p: Params, key: str = "doc_id", text: str = "text") ->
         drop(sets)
         return out
 
-    # round one: members and anchors
-    spread = [F.min(F.struct(F.xxhash64(F.lit(k), "id").alias("h"), "id"))["id"].alias(f"a{k}") for k in range(ANCHORS)]
-    more = members.where(F.col("size") > LARGE).groupBy("band").agg(*spread)
-    more = more.select("band", F.explode(F.array_distinct(F.array(*(f"a{k}" for k in range(ANCHORS))))).alias("a"))
-    star = members.select("band", F.col("anchor").alias("a")).distinct().union(more).join(members.select("band", F.col("id").alias("b")), "band")
-    first = estimated(star.where("a != b").select("a", "b").distinct()).where(within_reach)
-    nearest = Window.partitionBy("b").orderBy(F.desc("est"), "a")
-    first = save(first.withColumn("k", F.row_number().over(nearest)).where(F.col("k") <= TRIES).select("a", "b", "na", "nb"), "minhash-first")
-    tried = confirmed(first)
+    # round one: members and anchors; then, with other anchors, members that are linked with none of them
+    def anchors(seeds: range) -> DataFrame:
+        spread = [F.min(F.struct(F.xxhash64(F.lit(k), "id").alias("h"), "id"))["id"].alias(f"a{k}") for k in seeds]
+        more = members.where(F.col("size") > LARGE).groupBy("band").agg(*spread)
+        return more.select("band", F.explode(F.array_distinct(F.array(*(f"a{k}" for k in seeds)))).alias("a"))
+
+    def nearest_tries(star: DataFrame) -> DataFrame:
+        nearest = Window.partitionBy("b").orderBy(F.desc("est"), "a")
+        out = estimated(star.where("a != b").select("a", "b").distinct()).where(within_reach)
+        return save(out.withColumn("k", F.row_number().over(nearest)).where(F.col("k") <= TRIES).select("a", "b", "na", "nb"), "minhash-first")
+
+    ends = members.select("band", F.col("id").alias("b"))
+    tried = confirmed(nearest_tries(members.select("band", F.col("anchor").alias("a")).distinct().union(anchors(range(ANCHORS))).join(ends, "band")))
+    joined = tried.where("linked").select(F.explode(F.array("a", "b")).alias("b")).distinct()
+    alone = ends.join(members.where(F.col("size") > LARGE).select("band").distinct(), "band", "left_semi").join(joined, "b", "left_anti")
+    again = confirmed(nearest_tries(anchors(range(ANCHORS, ANCHORS + MORE)).join(alone, "band")))
+    tried = tried.union(again)
     edges = tried.where("linked").select("a", "b")
     chosen = tried.where("linked").groupBy("b").agg(F.min(F.struct("d", "a")).alias("m")).select(F.col("b").alias("id"), F.col("m.a").alias("centre"), F.col("m.d").alias("d"))
     used = chosen.select(F.col("centre").alias("id")).distinct()
@@ -234,34 +250,92 @@ def link(docs: DataFrame, p: Params, key: str = "doc_id", text: str = "text") ->
     far = lambda c: F.coalesce(c, F.lit(0.0))
     reach = lambda df: df.join(radius.select(F.col("centre").alias("a"), F.col("r").alias("ra")), "a", "left").join(radius.select(F.col("centre").alias("b"), F.col("r").alias("rb")), "b", "left")
     second = reach(estimated(meet)).withColumn("out", far(F.col("ra")) + far(F.col("rb")))
-    alone = (F.col("out") > 0) | (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * p.similarity)
-    second = save(second.where(alone & (F.col("est") >= least - slack - F.col("out"))).select("a", "b", "na", "nb", "out"), "minhash-second")
+    sizes = (F.col("out") > 0) | (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * p.similarity)
+    second = save(second.where(sizes & (F.col("est") >= least - slack - F.col("out"))).select("a", "b", "na", "nb", "out", far(F.col("rb")).alias("rb")), "minhash-second")
     if second.limit(1).count():
         met = confirmed(second)
         edges = edges.union(met.where("linked").select("a", "b"))
         found = components(edges)
         at = lambda c: found.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
         met = met.join(at("a"), "a", "left").join(at("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-        open_pairs = met.where(~F.col("linked") & (F.col("out") > 0) & (F.col("d") <= (1 - least) + F.col("out") + 1e-9)).select(F.col("a").alias("ca"), F.col("b").alias("cb"), F.col("d").alias("dc"))
-        radius_most = 1 - least  # linked members are this far from their centre at most
-        u = chosen.select(F.col("centre").alias("ca"), F.col("id").alias("a"), F.col("d").alias("da"))
-        v = chosen.select(F.col("centre").alias("cb"), F.col("id").alias("b"), F.col("d").alias("db"))
-        solo = lambda df, c, i, d: df.select(F.col(c), F.col(c).alias(i), F.lit(0.0).alias(d)).distinct()
-        u = u.union(solo(open_pairs.join(u, "ca", "left_anti"), "ca", "a", "da"))
-        v = v.union(solo(open_pairs.join(v, "cb", "left_anti"), "cb", "b", "db"))
-        left = open_pairs.join(u, "ca").where(F.col("dc") <= (1 - least) + F.col("da") + radius_most + 1e-9)
-        cross = left.alias("l").join(v.alias("v"), (F.col("l.cb") == F.col("v.cb")) & (F.col("dc") <= (1 - least) + F.col("da") + F.col("db") + 1e-9))
-        third = cross.where("a != ca or b != v.cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        third = save(estimated(third).where(within_reach).select("a", "b", "na", "nb"), "minhash-third")
-        if third.limit(1).count():
-            late = confirmed(third).where("linked").select("a", "b")
+        open_pairs = met.where(~F.col("linked") & (F.col("out") > 0) & (F.col("d") <= (1 - least) + F.col("out") + 1e-9)).select("a", "b", F.col("d").alias("dc"))
+        open_pairs = save(open_pairs, "minhash-open")
+        if open_pairs.limit(1).count():
+            late = between_groups(open_pairs, chosen, reps, full_sets, p)
             found = components(found.where("id != component").select(F.col("id").alias("a"), F.col("component").alias("b")).union(late))
-    drop(first, second, members, placed)
+    drop(second, members, placed)
     of_class = reps.select("k1", "k2", "id").join(found, "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("c"))
     out = sig.select("doc_id", "n_shingles", "k1", "k2").join(of_class, ["k1", "k2"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
 
 
+#: Members of a large group that are looked at together.
+BLOCK = 64
+
+
+def between_groups(pairs: DataFrame, chosen: DataFrame, reps: DataFrame, full_sets, p: Params) -> DataFrame:
+    """Edges (a, b) that join groups: pairs has centres a, b at distance dc whose members may still be linked.
+
+    The members of the smaller group are each held against the larger group's, in blocks; one link for a member and a block is
+    enough, since a block's members are in one component. Nothing is emitted for members that are not linked.
+    """
+    most = 1 - p.similarity / 100
+    size = chosen.groupBy("centre").agg(F.count("*").alias("size"), F.max("d").alias("r"))
+    fact = lambda c: size.select(F.col("centre").alias(c), F.col("size").alias(f"n{c}"), F.col("r").alias(f"r{c}"))
+    both = pairs.join(fact("a"), "a", "left").join(fact("b"), "b", "left").fillna({"na": 1, "nb": 1, "ra": 0.0, "rb": 0.0})
+    swap = F.col("na") > F.col("nb")
+    pick = lambda x, y, name: F.when(swap, F.col(y)).otherwise(F.col(x)).alias(name)
+    both = both.select(pick("a", "b", "lo"), pick("b", "a", "hi"), pick("rb", "ra", "r"), pick("nb", "na", "size"), "dc")
+    grouped = chosen.select("centre", "id", "d")
+    solo = both.select(F.explode(F.array("lo", "hi")).alias("centre")).distinct().join(grouped, "centre", "left_anti")
+    grouped = grouped.union(solo.select("centre", F.col("centre").alias("id"), F.lit(0.0)))
+    left = both.join(grouped.select(F.col("centre").alias("lo"), F.col("id").alias("a"), "d"), "lo").where(F.col("dc") <= most + F.col("d") + F.col("r") + 1e-9)
+    left = save(left.select("hi", "a", (F.col("dc") - F.col("d") - most).alias("need")), "minhash-left")
+    right = grouped.join(both.select(F.col("hi").alias("centre"), "size").distinct(), "centre")
+    right = save(right.withColumn("k", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / BLOCK)).cast("int")), "minhash-right")
+    sets = full_sets(left.select(F.col("a").alias("id")).union(right.select("id")))
+    sets = sets.join(reps.select("id", "sig"), "id")
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        one = {"hi": [pdf["centre"][0]], "ids": [list(pdf["id"])], "ds": [list(pdf["d"])], "ends": [list(np.cumsum([len(s) // 8 for s in pdf["s"]]))]}
+        return pd.DataFrame(one | {"sigs": [np.stack(pdf["sig"]).tobytes()], "all": [b"".join(pdf["s"])]})
+
+    blocks = right.join(sets, "id").groupBy("centre", "k").applyInPandas(pack, "hi long, ids array<long>, ds array<double>, ends array<int>, sigs binary, all binary")
+    c = 2.0**-BITS
+    equal = c + (1 - c) * p.similarity / 100
+    enough = p.minima * equal - p.slack * np.sqrt(p.minima * equal * (1 - equal))
+    ones, similarity = np.uint64(sum(1 << (BITS * k) for k in range(LANES))), p.similarity
+
+    @F.pandas_udf(LongType())
+    def one_link(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for rows in parts:
+            out = []
+            for need, sig, s, ids, ds, ends, sigs, everything in zip(*rows):
+                mine, flat = np.frombuffer(s, np.uint64), np.frombuffer(everything, np.uint64)
+                x = np.frombuffer(sigs, np.uint64).reshape(len(ids), -1) ^ np.asarray(sig).view(np.uint64)
+                for k in (1, 2):
+                    x = x | (x >> np.uint64(k))
+                alike = p.minima - np.bitwise_count(x & ones).sum(axis=1)
+                near = np.flatnonzero((alike >= enough) & (np.asarray(ds) >= need - 1e-9))
+                hit = None
+                if len(near):
+                    ends = np.asarray(ends)
+                    starts = np.concatenate([[0], ends[:-1]])
+                    at = np.searchsorted(mine, flat)
+                    same = np.concatenate([[0], np.cumsum(mine[np.minimum(at, len(mine) - 1)] == flat)])
+                    common = (same[ends] - same[starts])[near]
+                    linked = near[100 * common >= similarity * (len(mine) + (ends - starts)[near] - common)]
+                    hit = int(ids[linked[0]]) if len(linked) else None
+                out.append(hit)
+            yield pd.Series(out, dtype="Int64")
+
+    held = left.join(sets.select(F.col("id").alias("a"), "sig", "s"), "a").join(blocks, "hi")
+    found = held.select("a", one_link("need", "sig", "s", "ids", "ds", "ends", "sigs", "all").alias("b"))
+    found = save(found.where("b is not null"), "minhash-late")
+    drop(left, right)
+    return found
+
+
 def deduplicate(docs: DataFrame, p: Params = Params(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows of docs that stay: the smallest id of each component, and every row that is linked with nothing. Columns as in docs.
 
