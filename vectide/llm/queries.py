@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectide.llm import bpe, langid, linededup, minhash, mixing, quality, sharding, substring, vecdedup
+from vectide.llm import bpe, langid, linededup, minhash, mixing, quality, sharding, substring, toxicity, vecdedup
 
 
 def _tokenizer() -> str:
@@ -47,6 +47,10 @@ def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.col("lines.n").alias("n_lines"), F.col("lines.removed").alias("n_removed"), text.alias("text_md5"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.assess(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vecdedup.report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -59,6 +63,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), _tokenizer())
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -67,9 +77,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_language": op4_language,
         "op5_mixing": op5_mixing,
         "op6_lines": op6_lines,
+        "op7_toxicity": op7_toxicity,
         "op8_vectors": op8_vectors,
         "op9_sharding": op9_sharding,
         "op10_bpe": op10_bpe,
+        "pipeline": pipeline,
     }
 
 
