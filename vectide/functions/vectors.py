@@ -33,6 +33,11 @@ def doubles(v: Column) -> Column:
     return v.cast("array<double>")
 
 
+def bound(value: Column, body) -> Column:
+    """body(value) with value computed once, also where body uses it inside other lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _sum(v: Column, zero: Column | None = None) -> Column:
     return F.aggregate(v, F.lit(0.0) if zero is None else zero, lambda a, x: a + x)
 
@@ -66,7 +71,7 @@ def normalize(v: Column) -> Column:
     """The vector divided by its norm; unchanged where the squared norm is at most 1e-12."""
     size = norm_squared(v)
     factor = F.when(size > TINY, 1 / F.sqrt(size)).otherwise(1.0)
-    return F.get(F.transform(F.array(factor), lambda f: F.transform(doubles(v), lambda x: x * f)), F.lit(0))
+    return bound(factor, lambda f: F.transform(doubles(v), lambda x: x * f))
 
 
 def integer_l2(a: Column, b: Column) -> Column:
@@ -112,18 +117,19 @@ def cosine_distance_fast(a: Column, b: Column) -> Column:
 def sign_words(v: Column, dim: int) -> Column:
     """One bit for each component that is at least 0: bit d % 64 of word d / 64."""
 
-    def word(w: int) -> Column:
+    def word(x: Column, w: int) -> Column:
         places = F.sequence(F.lit(64 * w), F.lit(min(dim, 64 * w + 64) - 1))
-        bit = lambda a, d: a.bitwiseOR(F.when(F.get(v, d) >= 0, F.call_function("shiftleft", F.lit(1).cast("long"), d - 64 * w)).otherwise(F.lit(0).cast("long")))
+        bit = lambda a, d: a.bitwiseOR(F.when(F.get(x, d) >= 0, F.call_function("shiftleft", F.lit(1).cast("long"), d - 64 * w)).otherwise(F.lit(0).cast("long")))
         return F.aggregate(places, F.lit(0).cast("long"), bit)
 
-    return F.array(*(word(w) for w in range((dim + 63) // 64)))
+    return bound(v, lambda x: F.array(*(word(x, w) for w in range((dim + 63) // 64))))
 
 
 def sign_values(words: Column, dim: int) -> Column:
     """+1 and -1 for the bits of sign_words()."""
-    bit = lambda d: F.call_function("shiftright", F.get(words, F.floor(d / 64).cast("int")), d % 64).bitwiseAND(F.lit(1).cast("long"))
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.when(bit(d) == 1, 1.0).otherwise(-1.0))
+    places = F.sequence(F.lit(0), F.lit(dim - 1))
+    bit = lambda w, d: F.call_function("shiftright", F.get(w, F.floor(d / 64).cast("int")), d % 64).bitwiseAND(F.lit(1).cast("long"))
+    return bound(words, lambda w: F.transform(places, lambda d: F.when(bit(w, d) == 1, 1.0).otherwise(-1.0)))
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -140,7 +146,7 @@ def sign_inner_product(q: Column, words: Column, dim: int) -> Column:
 
 def scalar_code(v: Column, lo: Column, hi: Column, levels: int) -> Column:
     """Codes 0 .. levels: components held to [lo, hi] and rounded, halves upwards."""
-    step = (hi - lo) / levels
+    step = (hi - lo) / levels  # of literals or bound values
     return F.transform(doubles(v), lambda x: F.floor((F.greatest(lo, F.least(hi, x)) - lo) / step + 0.5).cast("int"))
 
 
@@ -150,8 +156,9 @@ def scalar_value(code: Column, lo: Column, hi: Column, levels: int) -> Column:
 
 def pack_nibbles(code: Column, dim: int) -> Column:
     """Two codes in a byte: the even place in the low half, the odd one in the high half, which is 0 at an odd end."""
-    high = lambda i: F.coalesce(F.get(code, 2 * i + 1), F.lit(0))
-    return F.transform(F.sequence(F.lit(0), F.lit((dim - 1) // 2)), lambda i: F.get(code, 2 * i).bitwiseOR(F.shiftleft(high(i), 4)))
+    places = F.sequence(F.lit(0), F.lit((dim - 1) // 2))
+    byte = lambda c, i: F.get(c, 2 * i).bitwiseOR(F.shiftleft(F.coalesce(F.get(c, 2 * i + 1), F.lit(0)), 4))
+    return bound(code, lambda c: F.transform(places, lambda i: byte(c, i)))
 
 
 def unpack_nibbles(packed: Column, dim: int) -> Column:
