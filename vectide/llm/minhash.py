@@ -24,15 +24,16 @@ class Params:
     """width: words in a shingle. similarity: least Jaccard similarity in per cent. minima: hash functions; the first bands x rows
     of them make the bands, all make the signature.
 
-    With 32 bands of 4, a pair at 80 per cent shares no band with probability (1 - 0.8 ** 4) ** 32 = 5e-8.
+    With 56 bands of 6, a pair at 80 per cent shares no band with probability (1 - 0.8 ** 6) ** 56 = 4e-8, one at 20 per cent shares
+    one with 0.4 per cent.
     slack: standard deviations, at most, by which an estimate may be low where it decides that a pair is not confirmed on full sets.
     """
 
     width: int = 5
     similarity: int = 80
-    bands: int = 32
-    rows: int = 4
-    minima: int = 256
+    bands: int = 56
+    rows: int = 6
+    minima: int = 336
     slack: float = 6.0
     seed: int = 1
 
