@@ -18,15 +18,22 @@ HOT = 16
 #: How many more lines of such a token, spread by hash, are compared with all others before the rest.
 ANCHORS = 6
 
+#: Passes in which lines meet, each with a share of the tokens.
+PARTS = 4
 #: Longs in the bitmap of a longer line.
 MAPS = 4
 BITS = [f"b{k}" for k in range(MAPS)]
 
 
+def _plain(line: Column) -> Column:
+    """The line with every white space as a blank; only lines that have another kind are rewritten."""
+    other = functools.reduce(lambda a, c: a | line.contains(c), BLANKS[1:], line.contains(BLANKS[0]))
+    return F.when(other, F.translate(line, BLANKS, " " * len(BLANKS))).otherwise(line)
+
+
 def tokens(line: Column) -> Column:
     """Distinct tokens of a line; none if it has no word."""
-    plain = F.translate(F.coalesce(line, F.lit("")), BLANKS, " " * len(BLANKS))
-    return F.array_remove(F.array_distinct(F.split(plain, " ")), "")
+    return F.array_remove(F.array_distinct(F.split(_plain(line), " ")), "")
 
 
 def exploded(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -36,8 +43,8 @@ def exploded(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def frequency_classes(docs: DataFrame, text: str) -> Column:
     """Array literal: for each hash bucket of tokens, a class that grows with the bucket's count over all rows."""
-    plain = F.translate(F.col(text), BLANKS + "\n", " " * (len(BLANKS) + 1))
-    counted = docs.select(F.explode(F.split(plain, " ")).alias("t")).select(F.xxhash64("t").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b"))
+    lines = docs.select(F.explode(F.split(F.col(text), "\n")).alias("line"))
+    counted = lines.select(F.explode(F.split(_plain(F.col("line")), " ")).alias("t")).select(F.xxhash64("t").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b"))
     classes = [0] * BUCKETS
     for b, c in counted.groupBy("b").count().select("b", (F.log2("count") * 2).cast("int")).collect():
         classes[b] = c
@@ -55,7 +62,7 @@ def ranked(line: Column, classes: Column) -> Column:
 
 
 def _has_word(line: Column) -> Column:
-    return F.trim(F.translate(line, BLANKS, " " * len(BLANKS))) != ""
+    return F.trim(_plain(line)) != ""
 
 
 def _prefix(n: Column, similarity: int) -> Column:
@@ -68,15 +75,17 @@ def _short_prefix(n: Column, similarity: int) -> Column:
     return n - F.ceil(n * F.lit(2.0 * similarity / (100 + similarity)) - 1e-9).cast("int") + 1
 
 
-def _may_match(x: str, y: str, similarity: int) -> Column:
+def _may_match(x: str, y: str, similarity: int, x_shorter: bool) -> Column:
     """Length, prefix, positional and bitmap filters on two postings (n: set size, i: place of the shared token from 1).
 
     A bit stands for the hashes of tokens; every bit that differs stands for a token that only one set has. Sets of at most 64
-    tokens use one long, others MAPS of them, which give the short map when folded.
+    tokens use one long, others MAPS of them, which give the short map when folded. x_shorter: x is the shorter set, or as long as
+    y and before it, and comes with its short prefix only, so that each pair of sets meets once for a token.
     """
     n, m, i, j = F.col(f"{x}.n"), F.col(f"{y}.n"), F.col(f"{x}.i"), F.col(f"{y}.i")
     length = F.least(n, m) * 100 >= F.greatest(n, m) * similarity
-    short = ((n <= m) & (i <= _short_prefix(n, similarity))) | ((m <= n) & (j <= _short_prefix(m, similarity)))
+    if x_shorter:
+        length = length & ((n < m) | ((n == m) & _before(x, y)))
     place = (1 + F.least(n - i, m - j)) * (100 + similarity) >= (n + m) * similarity
     bits = lambda z: [F.col(f"{z}.b{k}") for k in range(MAPS)]
     folded = lambda z: functools.reduce(lambda u, v: u.bitwiseOR(v), bits(z))
@@ -84,7 +93,7 @@ def _may_match(x: str, y: str, similarity: int) -> Column:
     wide = sum((apart(u, v) for u, v in zip(bits(x)[1:], bits(y)[1:])), apart(bits(x)[0], bits(y)[0]))
     differ = F.when((n > 64) & (m > 64), wide).when((n <= 64) & (m <= 64), apart(bits(x)[0], bits(y)[0])).otherwise(apart(folded(x), folded(y)))
     few = (n + m - differ) * (100 + similarity) >= (n + m) * (2 * similarity)
-    return length & few & short & place
+    return length & few & place
 
 
 def later_matches(docs: DataFrame, similarity: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -94,9 +103,10 @@ def later_matches(docs: DataFrame, similarity: int = 80, key: str = "doc_id", te
     removed or not. Rows with one key are one document: a repeated row's lines count once. The result is exact.
 
     Lines with equal sets form one class, represented by its first line; all others of it are later matches. Only the first
-    tokens of each class (rarest first, over the whole corpus) are exchanged; tokens that one class alone has are dropped. Where a
-    token starts more than HOT classes, these are first compared with the first of them and a few others; only what has no match by
-    then is compared with all earlier ones, so groups of near copies do not meet as all pairs. Candidates are verified on their full sets.
+    tokens of each class (rarest first, over the whole corpus) are exchanged. Where a token starts more than HOT classes,
+    these are first compared with the first of them and a few others; what has a match by then is not verified again.
+    Then all classes meet by token, in PARTS passes so that the exchanged files stay small: the longer set's prefix against the
+    shorter set's shorter one. Candidates are verified on their full sets.
     """
     docs = docs.select(F.col(key), F.col(text))
     classes = frequency_classes(docs, text)
@@ -122,21 +132,34 @@ def later_matches(docs: DataFrame, similarity: int = 80, key: str = "doc_id", te
     lines = exploded(docs, key, text).where(_has_word(F.col("line"))).select("doc", "pos", let(ranked(F.col("line"), classes), facts).alias("f"))
     flat = save(lines.select("doc", "pos", "f.*"), "lines")
     first = save(flat.groupBy("h1", "h2").agg(F.min(F.struct("doc", "pos", "n", *BITS, "p")).alias("m")).select("h1", "h2", "m.*"), "line-classes")
-    posts = first.select("doc", "pos", "n", *BITS, F.posexplode("p").alias("i", "t")).select("t", "doc", "pos", "n", (F.col("i") + 1).alias("i"), *BITS)
-    shared = posts.groupBy("t").agg(F.count("*").alias("c")).where("c > 1")
-    live = save(posts.join(shared, "t"), "line-postings")
+    def postings(classes_: DataFrame, *more: str) -> DataFrame:
+        out = classes_.select("doc", "pos", "n", *BITS, *more, F.posexplode("p").alias("i", "t"))
+        return out.select("t", "doc", "pos", "n", (F.col("i") + 1).alias("i"), *BITS, *more)
 
-    hot = live.where(F.col("c") > HOT)
     post = F.struct("doc", "pos", "n", "i", *BITS)
     spread = [F.min(F.struct(F.xxhash64(F.lit(k), "doc", "pos").alias("h"), post.alias("m"))).alias(f"a{k}") for k in range(ANCHORS)]
-    anchor = hot.groupBy("t").agg(F.min(post).alias("m"), *spread)
-    anchor = anchor.select("t", F.explode(F.array_distinct(F.array("m", *(F.col(f"a{k}.m") for k in range(ANCHORS))))).alias("m")).select("t", "m.*")
-    one = _pairs(hot.alias("y").join(anchor.alias("x"), (F.col("x.t") == F.col("y.t")) & _before("x", "y") & _may_match("x", "y", similarity)))
+    one = []
+    for part in range(PARTS):
+        some = postings(first).where(F.pmod("t", F.lit(PARTS)) == part)
+        hot = some.join(some.groupBy("t").agg(F.count("*").alias("c")).where(F.col("c") > HOT), "t")
+        anchor = hot.groupBy("t").agg(F.min(post).alias("m"), *spread)
+        anchor = anchor.select("t", F.explode(F.array_distinct(F.array("m", *(F.col(f"a{k}.m") for k in range(ANCHORS))))).alias("m")).select("t", "m.*")
+        met = hot.alias("y").join(anchor.alias("x"), (F.col("x.t") == F.col("y.t")) & _before("x", "y") & _may_match("x", "y", similarity, False))
+        one.append(save(_pairs(met).distinct(), "line-pairs"))
     done = save(_verified(docs, one, classes, similarity, key, text), "line-matches")
-    left = live.join(done, ["doc", "pos"], "left_anti")
-    two = _pairs(left.alias("y").join(live.alias("x"), (F.col("x.t") == F.col("y.t")) & _before("x", "y") & _may_match("x", "y", similarity)))
+
+    flagged = save(first.join(done.withColumn("r", F.lit(True)), ["doc", "pos"], "left").fillna(False, ["r"]), "line-classes")
+    posts, two = postings(flagged, "r"), []
+    for part in range(PARTS):
+        some = posts.where(F.pmod("t", F.lit(PARTS)) == part)
+        index = some.where(F.col("i") <= _short_prefix(F.col("n"), similarity))
+        met = some.alias("y").join(index.alias("x"), (F.col("x.t") == F.col("y.t")) & ((_before("x", "y") & ~F.col("y.r")) | (_before("y", "x") & ~F.col("x.r"))) & _may_match("x", "y", similarity, True))
+        later = F.when(_before("x", "y"), F.struct("y.doc", "y.pos")).otherwise(F.struct("x.doc", "x.pos"))
+        earlier = F.when(_before("x", "y"), F.struct("x.doc", "x.pos")).otherwise(F.struct("y.doc", "y.pos"))
+        met = met.select(earlier.alias("a"), later.alias("b")).select(F.col("a.doc").alias("da"), F.col("a.pos").alias("pa"), F.col("b.doc").alias("db"), F.col("b.pos").alias("pb"))
+        two.append(save(met.distinct(), "line-pairs"))
+    drop(flagged)
     rest = save(_verified(docs, two, classes, similarity, key, text), "line-matches")
-    drop(live)
     gone = first.select("h1", "h2", "doc", "pos").join(done.union(rest).distinct(), ["doc", "pos"], "left_semi").select("h1", "h2", F.lit(True).alias("gone"))
     stay = first.select("h1", "h2", F.col("doc").alias("d"), F.col("pos").alias("q")).join(gone, ["h1", "h2"], "left_anti")
     out = flat.select("doc", "pos", "h1", "h2").join(stay, ["h1", "h2"], "left")
@@ -148,15 +171,15 @@ def _before(x: str, y: str) -> Column:
 
 
 def _pairs(joined: DataFrame) -> DataFrame:
-    return joined.select(F.col("x.doc").alias("da"), F.col("x.pos").alias("pa"), F.col("y.doc").alias("db"), F.col("y.pos").alias("pb")).distinct()
+    return joined.select(F.col("x.doc").alias("da"), F.col("x.pos").alias("pa"), F.col("y.doc").alias("db"), F.col("y.pos").alias("pb"))
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, classes: Column, similarity: int, key: str, text: str) -> DataFrame:
+def _verified(docs: DataFrame, parts: list[DataFrame], classes: Column, similarity: int, key: str, text: str) -> DataFrame:
     """(doc, pos) of the later line of each pair whose full sets are similar enough.
 
     The sets are made anew from the texts, for lines that pass a fixed-size bit table of the wanted ones, then joined exactly.
     """
-    pairs = save(pairs, "line-pairs")
+    pairs = functools.reduce(DataFrame.union, parts).distinct()
     wanted = pairs.select(F.col("da").alias("doc"), F.col("pa").alias("pos")).union(pairs.select("db", "pb")).distinct()
     bit = F.pmod(F.xxhash64("doc", "pos"), F.lit(FILTER_BITS))
     words = [0] * (FILTER_BITS // 64)
