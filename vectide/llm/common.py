@@ -67,6 +67,26 @@ def words(text: Column) -> Column:
     return F.filter(F.split(plain, " "), lambda w: w != "")
 
 
+#: Bits of the table of maybe_in(). Its size is fixed: where it fills up, more rows pass, and the exact join that follows drops them.
+FILTER_BITS = 1 << 22
+
+
+def maybe_in(wanted: DataFrame, *columns: str) -> Column:
+    """A condition on rows with these columns that holds for all of `wanted` and for few others.
+
+    The wanted rows' hashes set bits of a table of FILTER_BITS bits, made by pre-aggregated sums and sent as a literal, so that wide
+    rows that nobody asks for are dropped before they are exchanged.
+    """
+    bit = F.pmod(F.xxhash64(*columns), F.lit(FILTER_BITS))
+    table = wanted.select(bit.alias("b")).groupBy((F.col("b") / 64).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(b % 64 as int)))").alias("v"))
+    longs = [0] * (FILTER_BITS // 64)
+    for w, v in table.collect():
+        longs[w] = v
+    literal = F.expr(f"cast(split('{','.join(map(str, longs))}', ',') as array<bigint>)")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))
+    return F.get(literal, (bit / 64).cast("int")).bitwiseAND(one) != 0
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 40) -> DataFrame:
     """Connected components of undirected edges: (id, component) with component = smallest id reachable.
 

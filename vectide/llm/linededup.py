@@ -7,12 +7,10 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vectide.llm.common import BLANKS, drop, let, save
+from vectide.llm.common import BLANKS, drop, let, maybe_in, save
 
 #: Buckets of the token frequency table. Its size is fixed; tokens of one bucket are told apart by their hash.
 BUCKETS = 1 << 14
-#: Bits of the table that says which lines may be needed for verification (fixed size; false hits only cost time).
-FILTER_BITS = 1 << 22
 #: A token that starts more lines than this is compared with a few of them before the rest.
 HOT = 16
 #: How many more lines of such a token, spread by hash, are compared with all others before the rest.
@@ -181,14 +179,7 @@ def _verified(docs: DataFrame, parts: list[DataFrame], classes: Column, similari
     """
     pairs = functools.reduce(DataFrame.union, parts).distinct()
     wanted = pairs.select(F.col("da").alias("doc"), F.col("pa").alias("pos")).union(pairs.select("db", "pb")).distinct()
-    bit = F.pmod(F.xxhash64("doc", "pos"), F.lit(FILTER_BITS))
-    words = [0] * (FILTER_BITS // 64)
-    table = wanted.select(bit.alias("b")).groupBy((F.col("b") / 64).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(b % 64 as int)))").alias("v"))
-    for w, v in table.collect():
-        words[w] = v
-    words = F.expr(f"cast(split('{','.join(map(str, words))}', ',') as array<bigint>)")
-    maybe = F.get(words, (bit / 64).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))) != 0
-    sets = exploded(docs, key, text).where(maybe).dropDuplicates(["doc", "pos"]).join(wanted, ["doc", "pos"], "left_semi")
+    sets = exploded(docs, key, text).where(maybe_in(wanted, "doc", "pos")).dropDuplicates(["doc", "pos"]).join(wanted, ["doc", "pos"], "left_semi")
     sets = save(sets.select("doc", "pos", ranked(F.col("line"), classes).alias("s")), "line-sets")
     a = sets.select(F.col("doc").alias("da"), F.col("pos").alias("pa"), F.col("s").alias("sa"))
     b = sets.select(F.col("doc").alias("db"), F.col("pos").alias("pb"), F.col("s").alias("sb"))

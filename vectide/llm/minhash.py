@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from vectide.llm.common import components, drop, save
+from vectide.llm.common import components, drop, maybe_in, save
 
 #: Low bits retained of each minimum; LANES of them are packed into one long.
 BITS = 4
@@ -42,7 +42,7 @@ class _Words(dict):
     """64-bit hashes of words, remembered; emptied when full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 19:
+        if len(self) >= 1 << 17:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -202,7 +202,8 @@ def link(docs: DataFrame, p: Params, key: str = "doc_id", text: str = "text") ->
             for pdf in parts:
                 yield pd.DataFrame({"id": pdf["id"], "s": [shingles(t, width).tobytes() for t in pdf["t"]]})
 
-        texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).join(ids.distinct(), "id", "left_semi")
+        ids = ids.distinct()
+        texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).where(maybe_in(ids, "id")).join(ids, "id", "left_semi")
         return save(texts.mapInPandas(run, "id long, s binary").dropDuplicates(["id"]), "minhash-sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -245,9 +246,12 @@ def link(docs: DataFrame, p: Params, key: str = "doc_id", text: str = "text") ->
     placed = placed.join(found.select(F.col("id").alias("centre"), "component"), "centre", "left").select("band", "centre", F.coalesce("component", "centre").alias("comp"))
     placed = save(placed, "minhash-placed")
     open_bands = placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
-    x = placed.join(open_bands, "band").select("band", F.col("centre").alias("a"), F.col("comp").alias("ca"))
-    y = x.select("band", F.col("a").alias("b"), F.col("ca").alias("cb"))
-    meet = x.join(y, (x.band == y.band) & (F.col("ca") < F.col("cb"))).select("a", "b").distinct()
+    low = lambda v: v.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+    of = reps.select(F.col("id").alias("centre"), F.transform("bands", low).alias("all"))
+    x = placed.join(open_bands, "band").join(of, "centre").select("band", F.col("centre").alias("a"), F.col("comp").alias("ca"), F.col("all").alias("xs"))
+    y = x.select(F.col("band").alias("other"), F.col("a").alias("b"), F.col("ca").alias("cb"), F.col("xs").alias("ys"))
+    once = F.get(F.filter("xs", lambda v, i: v == F.get("ys", i)), F.lit(0)) == low(F.col("band"))  # in the first band that the two share
+    meet = x.join(y, (F.col("band") == F.col("other")) & (F.col("ca") < F.col("cb")) & once).select("a", "b").distinct()
     far = lambda c: F.coalesce(c, F.lit(0.0))
     reach = lambda df: df.join(radius.select(F.col("centre").alias("a"), F.col("r").alias("ra")), "a", "left").join(radius.select(F.col("centre").alias("b"), F.col("r").alias("rb")), "b", "left")
     second = reach(estimated(meet)).withColumn("out", far(F.col("ra")) + far(F.col("rb")))
