@@ -20,8 +20,12 @@ GRAMS = (3, 4, 5)
 #: Sizes: word and character inputs, state of each direction, attention.
 D_WORD, D_CHAR, STATE, ATTEND = 8, 12, 8, 8
 #: Labelled rows trained on at most, of each class (those with the smallest hashed ids), and windows taken of a clean and of a toxic one.
-MAX_TOXIC, MAX_CLEAN, TAKE = 1500, 3000, (2, 4)
-EPOCHS, BATCH, RATE = 6, 128, 0.01
+MAX_TOXIC, MAX_CLEAN, TAKE = 1500, 2000, (3, 12)
+EPOCHS, BATCH, RATE = 4, 128, 0.01
+#: Least number of steps (few labels are gone over more often), and the share of words whose own embedding is left out of a step.
+STEPS, DROP = 500, 0.5
+#: How fast the tables of words and grams shrink, for each unit of the rate.
+DECAY = 3.0
 #: Words scored together.
 CHUNK = 400_000
 
@@ -72,7 +76,7 @@ class Net:
     reset gates and the candidate; attention; output. `top` turns a text's window logits into its score."""
 
     p: dict[str, np.ndarray]
-    top: np.ndarray = field(default_factory=lambda: np.array([1.0, 0.0, 0.0, 0.0]))
+    top: np.ndarray = field(default_factory=lambda: np.array([1.0, 0.0, 0.0]))
 
     @classmethod
     def fresh(cls, seed: int = 5) -> Net:
@@ -121,10 +125,14 @@ class Net:
         logit = pooled @ p["o"] + p["b"][0]
         return (logit, states, a, w, pooled, memo) if keep else logit
 
-    def gradient(self, own, places, counts, index, mask, label, weight) -> dict[str, np.ndarray]:
-        """Gradient of the weighted log loss, back through attention, time and the input tables."""
+    def gradient(self, own, places, counts, index, mask, label, weight, heard=None) -> dict[str, np.ndarray]:
+        """Gradient of the weighted log loss, back through attention, time and the input tables.
+
+        heard: factors of the distinct words' own embeddings, which teach the net to spell if some are 0."""
         p, h_n = self.p, STATE
         x = self.vectors(own, places, counts)
+        heard = np.ones((len(own), 1), np.float32) if heard is None else heard
+        x[:, :D_WORD] *= heard
         logit, states, a, w, pooled, memo = self.run(x, index, mask, True)
         d_logit = ((_sigmoid(logit) - label) * weight / len(label)).astype(np.float32)
         g = {"o": pooled.T @ d_logit, "b": d_logit.sum(keepdims=True)}
@@ -158,7 +166,7 @@ class Net:
             g[f"w{k}"], g[f"c{k}"] = x.T @ d_gate, d_gate.sum(axis=0)
             d_x += d_gate @ wk.T
         g["word"], g["gram"] = np.zeros_like(p["word"]), np.zeros_like(p["gram"])
-        np.add.at(g["word"], own, d_x[:, :D_WORD])
+        np.add.at(g["word"], own, d_x[:, :D_WORD] * heard)
         np.add.at(g["gram"], places, np.repeat(d_x[:, D_WORD:] / np.maximum(counts, 1)[:, None], counts, axis=0))
         return g
 
@@ -170,23 +178,27 @@ class Net:
         share = max(label.mean(), 1e-3)
         weight = np.where(label > 0, np.sqrt((1 - share) / share), 1.0).astype(np.float32)
         step = 0
-        for epoch in range(EPOCHS):
+        epochs = max(EPOCHS, -(-STEPS // -(-len(windows) // BATCH)))
+        for epoch in range(epochs):
             order = rng.permutation(len(windows))
             for at in range(0, len(order), BATCH):
                 part = order[at : at + BATCH]
                 uniq, index, mask = _indexed([windows[i] for i in part])
-                g = self.gradient(*inputs_of(uniq), index, mask, label[part], weight[part])
+                heard = ((rng.random((len(uniq), 1)) >= DROP) / (1 - DROP)).astype(np.float32)
+                g = self.gradient(*inputs_of(uniq), index, mask, label[part], weight[part], heard)
                 step += 1
-                rate = RATE * (1 - epoch / EPOCHS) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
+                rate = RATE * (1 - epoch / epochs) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
                 for k, v in self.p.items():
                     first[k] = 0.9 * first[k] + 0.1 * g[k]
                     second[k] = 0.999 * second[k] + 0.001 * g[k] ** 2
                     v -= (rate * first[k] / (np.sqrt(second[k]) + 1e-8)).astype(np.float32)
+                    if k in ("word", "gram"):
+                        v *= np.float32(1 - rate * DECAY)
         return self
 
     def facts(self, texts: list[str | None]) -> np.ndarray:
-        """(mean logit, highest logit, log of the number of windows) of each text over all its windows."""
-        out = np.zeros((len(texts), 3))
+        """(mean logit, highest logit) of each text over all its windows."""
+        out = np.zeros((len(texts), 2))
         held, owner, total = [], [], 0
         best, sums, n = np.full(len(texts), -np.inf), np.zeros(len(texts)), np.zeros(len(texts))
 
@@ -212,7 +224,7 @@ class Net:
                     total = 0
         flush()
         if len(texts):
-            out[:, 0], out[:, 1], out[:, 2] = sums / n, best, np.log(n)
+            out[:, 0], out[:, 1] = sums / n, best
         return out
 
     def score(self, texts: list[str | None]) -> np.ndarray:
@@ -229,14 +241,14 @@ def _indexed(windows: list[list[str]]) -> tuple[list[str], np.ndarray, np.ndarra
     return list(uniq), index, mask
 
 
-def _logistic(f: np.ndarray, y: np.ndarray, rounds: int = 30) -> np.ndarray:
-    """Ridge logistic regression by Newton steps; the last weight is the constant."""
+def _logistic(f: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 30) -> np.ndarray:
+    """Weighted ridge logistic regression by Newton steps; the last factor is the constant."""
     x = np.hstack([f, np.ones((len(f), 1))])
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         q = _sigmoid(x @ w)
-        hess = (x * (q * (1 - q))[:, None]).T @ x + 1e-2 * np.eye(x.shape[1])
-        w += np.linalg.solve(hess, x.T @ (y - q) - 1e-2 * w)
+        hess = (x * (weight * q * (1 - q))[:, None]).T @ x + 1e-2 * np.eye(x.shape[1])
+        w += np.linalg.solve(hess, x.T @ (weight * (y - q)) - 1e-2 * w)
     return w
 
 
@@ -268,7 +280,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     rows = sorted(map(tuple, sample.mapInPandas(take, "y int, w string").collect()))
     net = Net.fresh()
     if not rows:
-        net.top = np.array([0.0, 0.0, 0.0, -3.0])
+        net.top = np.array([0.0, 0.0, -3.0])
         return net
     net.train([w.split() for _, w in rows], np.array([y for y, _ in rows], np.float32))
     sent = docs.sparkSession.sparkContext.broadcast(net)
@@ -276,10 +288,12 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     def measure(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             f = sent.value.facts(list(pdf["t"]))
-            yield pd.DataFrame({"y": pdf["y"], "a": f[:, 0], "b": f[:, 1], "c": f[:, 2]})
+            yield pd.DataFrame({"y": pdf["y"], "a": f[:, 0], "b": f[:, 1]})
 
-    f = np.array(sorted(map(tuple, sample.mapInPandas(measure, "y int, a double, b double, c double").collect())))
-    net.top = _logistic(f[:, 1:], f[:, 0])
+    f = np.array(sorted(map(tuple, sample.mapInPandas(measure, "y int, a double, b double").collect())))
+    whole = dict(named.groupBy("y").count().collect())  # the sample's classes count as often as all labelled rows have them
+    weight = np.array([whole[y] for y in f[:, 0]]) / np.where(f[:, 0] > 0, (f[:, 0] > 0).sum(), (f[:, 0] == 0).sum())
+    net.top = _logistic(f[:, 1:], f[:, 0], weight)
     return net
 
 
