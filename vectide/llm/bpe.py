@@ -5,6 +5,7 @@ from __future__ import annotations
 import codecs
 import hashlib
 import heapq
+import itertools
 import json
 from collections.abc import Iterator
 
@@ -24,7 +25,7 @@ PART = 1 << 16
 #: A piece with more characters goes through the transducer; shorter ones are looked up or merged at once.
 LONG = 1 << 10
 #: Pieces that a worker remembers; the memory is emptied when full.
-MEMORY = 1 << 18
+MEMORY = 1 << 19
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -230,12 +231,12 @@ class Encoder:
 
     def encode(self, text: str) -> list[int]:
         """All tokens of a text, read in parts."""
-        if len(text) <= PART and (self.marks is None or not self.marks.search(text)):
-            out: list[int] = []
-            memory, piece = self.memory, self._piece
-            for m in self.split.findall(text):
-                out += memory.get(m) or piece(m)
-            return out
+        if len(text) <= PART and not any(mark in text for mark in self.merges.special):
+            pieces = self.split.findall(text)
+            found = list(map(self.memory.get, pieces))
+            if None in found:
+                found = [f or self._piece(m) for f, m in zip(found, pieces)]
+            return list(itertools.chain.from_iterable(found))
         return [t for k in range(0, len(text), PART) for t in self.feed(text[k : k + PART])] + self.flush()
 
 
