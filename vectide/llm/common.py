@@ -68,7 +68,7 @@ def words(text: Column) -> Column:
 
 
 #: Bits of the table of maybe_in(). Its size is fixed: where it fills up, more rows pass, and the exact join that follows drops them.
-FILTER_BITS = 1 << 22
+FILTER_BITS = 1 << 20
 
 
 def maybe_in(wanted: DataFrame, *columns: str) -> Column:
