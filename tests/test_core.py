@@ -143,6 +143,10 @@ def test_kd_forest(spark):
     rows, pick = rows_of(spark, x), [0, 100, 500, 999]
     forest = KdForest(rows, TreeParams(4, 16))
     assert first_ids(forest.batch_search(queries_of(spark, x[pick], pick), 5, SearchParams(512))) == {i: i for i in pick}
+    assert (forest.size(), forest.dim(), forest.num_trees) == (1000, 16, 4)
+    assert forest.search(x[100], 1, SearchParams(512)).first().id == 100
+    with pytest.raises(ValueError):
+        forest.search([1.0], 1)
     y = np.array([[(19 * (i * 8 + d) % 251) * 0.05 for d in range(8)] for i in range(500)])
     q = np.array([[(23 * d % 100) * 0.05 for d in range(8)]])
     rows, asked = rows_of(spark, y), queries_of(spark, q)

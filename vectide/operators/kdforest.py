@@ -94,6 +94,25 @@ class KdForest:
         self.rows = rows.select(F.col("id").cast("bigint"), F.col("vec").cast("array<double>").alias("vec"), F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"))
         self.shards = shards
 
+    @property
+    def num_trees(self) -> int:
+        return self.params.num_trees
+
+    def size(self) -> int:
+        return self.rows.count()
+
+    def dim(self) -> int:
+        """Components of the vectors; 0 without any."""
+        one = self.rows.select(F.size("vec")).first()
+        return 0 if one is None else one[0]
+
+    def search(self, query, k: int, how: SearchParams = SearchParams()) -> DataFrame:
+        """(rank, id, distance) for one vector; another dimension than the rows' is an error."""
+        if len(query) != self.dim():
+            raise ValueError("the query has another dimension")
+        one = self.rows.sparkSession.createDataFrame([(0, [float(x) for x in query])], "query_id bigint, vec array<double>")
+        return self.batch_search(one, k, how).drop("query_id")
+
     def leaf_sizes(self) -> DataFrame:
         """(shard, tree, size, leaves): how many leaves of each size the trees have."""
         p = self.params
