@@ -247,16 +247,16 @@ def link(docs: DataFrame, p: Params, key: str = "doc_id", text: str = "text") ->
     placed = save(placed, "minhash-placed")
     open_bands = placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
     low = lambda v: v.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
-    of = reps.select(F.col("id").alias("centre"), F.transform("bands", low).alias("all"))
-    x = placed.join(open_bands, "band").join(of, "centre").select("band", F.col("centre").alias("a"), F.col("comp").alias("ca"), F.col("all").alias("xs"))
-    y = x.select(F.col("band").alias("other"), F.col("a").alias("b"), F.col("ca").alias("cb"), F.col("xs").alias("ys"))
+    of = reps.select(F.col("id").alias("centre"), "n", "sig", F.transform("bands", low).alias("all")).join(radius, "centre", "left").fillna(0.0, ["r"])
+    x = placed.join(open_bands, "band").join(of, "centre")
+    x = x.select("band", F.col("centre").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("sig").alias("sa"), F.col("all").alias("xs"), F.col("r").alias("ra"))
+    y = x.select(*(F.col(u).alias(v) for u, v in zip(x.columns, ("other", "b", "cb", "nb", "sb", "ys", "rb"))))
+    out = F.col("ra") + F.col("rb")
+    sizes = (out > 0) | (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * p.similarity)
+    near = estimate(equal_lanes(F.col("sa"), F.col("sb"), p), p) >= least - slack - out
     once = F.get(F.filter("xs", lambda v, i: v == F.get("ys", i)), F.lit(0)) == low(F.col("band"))  # in the first band that the two share
-    meet = x.join(y, (F.col("band") == F.col("other")) & (F.col("ca") < F.col("cb")) & once).select("a", "b").distinct()
-    far = lambda c: F.coalesce(c, F.lit(0.0))
-    reach = lambda df: df.join(radius.select(F.col("centre").alias("a"), F.col("r").alias("ra")), "a", "left").join(radius.select(F.col("centre").alias("b"), F.col("r").alias("rb")), "b", "left")
-    second = reach(estimated(meet)).withColumn("out", far(F.col("ra")) + far(F.col("rb")))
-    sizes = (F.col("out") > 0) | (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * p.similarity)
-    second = save(second.where(sizes & (F.col("est") >= least - slack - F.col("out"))).select("a", "b", "na", "nb", "out", far(F.col("rb")).alias("rb")), "minhash-second")
+    meet = x.join(y, (F.col("band") == F.col("other")) & (F.col("ca") < F.col("cb")) & sizes & near & once)
+    second = save(meet.select("a", "b", "na", "nb", out.alias("out"), "rb").distinct(), "minhash-second")
     if second.limit(1).count():
         met = confirmed(second)
         edges = edges.union(met.where("linked").select("a", "b"))
