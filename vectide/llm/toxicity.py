@@ -23,7 +23,7 @@ D_WORD, D_CHAR, STATE, ATTEND = 8, 12, 8, 8
 MAX_TOXIC, MAX_CLEAN, TAKE = 1500, 2000, (3, 12)
 EPOCHS, BATCH, RATE = 4, 128, 0.01
 #: Least number of steps (few labels are gone over more often), and the share of words whose own embedding is left out of a step.
-STEPS, DROP = 500, 0.5
+STEPS, DROP = 300, 0.5
 #: How fast the tables of words and grams shrink, for each unit of the rate.
 DECAY = 3.0
 #: Words scored together.
