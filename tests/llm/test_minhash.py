@@ -54,6 +54,32 @@ def test_against_brute_force(spark):
         assert got == brute(rows, width)
 
 
+def bridged(family, first):
+    """Two groups of near copies with one linked pair between them; few low ids share the pair's buckets, so that neither is an anchor there."""
+    rng = random.Random(family)
+    word = lambda kind, k: f"{kind}{family}x{k}"
+    common, xs, ys = [word("c", k) for k in range(69)], [word("x", k) for k in range(31)], [word("y", k) for k in range(31)]
+    m, n = common + xs[9:] + ys[:9], common + ys[:20] + xs[20:]
+    both = sorted(set(m) & set(n))
+    sets = [rng.sample(both, 78) for _ in range(8)]
+    for base in (xs, ys):
+        for k in range(40):
+            own = common + base
+            own[rng.randrange(100)] = word(base[0][0] + "own", k)
+            sets.append(own)
+    return [(first + i, " ".join(w)) for i, w in enumerate([*sets, m, n])]
+
+
+def test_groups_joined_by_one_pair_of_members(spark):
+    families = [bridged(f, 1000 * f) for f in range(24)]
+    want = {}
+    for rows in families:
+        want |= brute(rows, 1)
+    df = spark.createDataFrame([r for rows in families for r in rows], "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.report(df, minhash.Params(width=1)).collect()}
+    assert got == want
+
+
 def test_odd_rows(spark):
     df = spark.createDataFrame([(1, "a b c", 7), (1, "a b c", 7), (None, "a b c", 8), (None, "z", 9), (2, "A b  c", 1)], "doc_id long, text string, band long")
     got = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in minhash.report(df, minhash.Params(width=2)).collect())

@@ -241,21 +241,19 @@ def link(docs: DataFrame, p: Params, key: str = "doc_id", text: str = "text") ->
     chosen = save(chosen.join(used, "id", "left_anti").union(own), "minhash-centres")
     radius = chosen.groupBy("centre").agg(F.max("d").alias("r"))
     found = components(edges)
-    # round two: centres of different components that meet in a bucket
+    # round two: centres of different components that meet in a bucket; it may be one of their members' only, not of their own bands
     placed = members.select("band", "id").join(chosen.select("id", "centre"), "id", "left").select("band", F.coalesce("centre", "id").alias("centre")).distinct()
     placed = placed.join(found.select(F.col("id").alias("centre"), "component"), "centre", "left").select("band", "centre", F.coalesce("component", "centre").alias("comp"))
     placed = save(placed, "minhash-placed")
     open_bands = placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
-    low = lambda v: v.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
-    of = reps.select(F.col("id").alias("centre"), "n", "sig", F.transform("bands", low).alias("all")).join(radius, "centre", "left").fillna(0.0, ["r"])
+    of = reps.select(F.col("id").alias("centre"), "n", "sig").join(radius, "centre", "left").fillna(0.0, ["r"])
     x = placed.join(open_bands, "band").join(of, "centre")
-    x = x.select("band", F.col("centre").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("sig").alias("sa"), F.col("all").alias("xs"), F.col("r").alias("ra"))
-    y = x.select(*(F.col(u).alias(v) for u, v in zip(x.columns, ("other", "b", "cb", "nb", "sb", "ys", "rb"))))
+    x = x.select("band", F.col("centre").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("sig").alias("sa"), F.col("r").alias("ra"))
+    y = x.select(*(F.col(u).alias(v) for u, v in zip(x.columns, ("other", "b", "cb", "nb", "sb", "rb"))))
     out = F.col("ra") + F.col("rb")
     sizes = (out > 0) | (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * p.similarity)
     near = estimate(equal_lanes(F.col("sa"), F.col("sb"), p), p) >= least - slack - out
-    once = F.get(F.filter("xs", lambda v, i: v == F.get("ys", i)), F.lit(0)) == low(F.col("band"))  # in the first band that the two share
-    meet = x.join(y, (F.col("band") == F.col("other")) & (F.col("ca") < F.col("cb")) & sizes & near & once)
+    meet = x.join(y, (F.col("band") == F.col("other")) & (F.col("ca") < F.col("cb")) & sizes & near)
     second = save(meet.select("a", "b", "na", "nb", out.alias("out"), "rb").distinct(), "minhash-second")
     if second.limit(1).count():
         met = confirmed(second)
