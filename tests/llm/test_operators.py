@@ -315,6 +315,20 @@ def test_vectors_against_all_pairs(spark):
     assert vecdedup.report(df.limit(0)).collect() == []
 
 
+def test_vectors_without_a_common_cluster(spark):
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((3000, 64))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for i in range(1500, 3000):
+        side = u[i] - (u[i] @ u[i - 1500]) * u[i - 1500]
+        cos = rng.uniform(0.9, 0.95)
+        u[i] = cos * u[i - 1500] + np.sqrt(1 - cos * cos) * side / np.linalg.norm(side)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(u)], "vec_id long, embedding array<double>")
+    want = int((u @ u.T >= 0.9).sum()) - len(u)
+    got = vecdedup.report(df, vecdedup.Params(size=64, cap=500, overlap=1)).collect()
+    assert 0.999 * want <= sum(r.n_links for r in got) <= want
+
+
 # shards
 
 

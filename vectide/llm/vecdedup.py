@@ -195,7 +195,8 @@ def link(vectors: DataFrame, p: Params = Params(), key: str = "vec_id", vector:
     Each node joins its nearest clusters; each cluster, or pair of parts of a large one, is a shard of bounded size, in
     which a pruned graph is built. The nodes' edges of all shards are united, each shard is searched along them from its medoid
     for all its rows, and every link is checked in double precision. Two shards that both find a pair count it once: in the
-    first shard that the two share. A shard passes on its rows' counts and a spanning forest of its links, not the pairs.
+    first shard that the two share; a shard in which no beam passes its audit is searched by brute force. Pairs of nodes without a
+    common cluster are held against each other in blocks, all of them, so that part costs the square of the nodes. A shard passes on its rows' counts and a spanning forest of its links, not the pairs.
     """
     spark = vectors.sparkSession
     plain = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
@@ -252,14 +253,19 @@ def link(vectors: DataFrame, p: Params = Params(), key: str = "vec_id", vector:
         beam = p.beam
         audit = np.random.default_rng(p.seed).choice(size, min(p.audits, size), replace=False)
         truth = (x[audit] @ x.T >= p.cosine).sum() - len(audit)
-        for _ in range(p.widenings):
-            if truth == 0 or len(search(x, edges, audit, start, beam, p)[0]) >= p.recall * truth:
+        for k in range(p.widenings + 1):
+            passed = truth == 0 or len(search(x, edges, audit, start, beam, p)[0]) >= p.recall * truth
+            if passed or k == p.widenings:
                 break
             beam *= 2
         count, label = np.zeros(size, dtype=np.int64), np.arange(size)
         for at in range(0, size, 256):
             queries = np.arange(at, min(at + 256, size))
-            q, r = search(x, edges, queries, start, beam, p)
+            if passed:
+                q, r = search(x, edges, queries, start, beam, p)
+            else:  # no beam was wide enough: all pairs
+                q, r = np.nonzero(x[queries] @ x.T >= p.cosine)
+                q, r = q[queries[q] != r], r[queries[q] != r]
             q = queries[q]
             label = _joined(label, q, r)
             # a pair counts here if no earlier cluster has both, and in a block of two parts only if it crosses them
@@ -273,6 +279,33 @@ def link(vectors: DataFrame, p: Params = Params(), key: str = "vec_id", vector:
 
     tasks = shards.join(placed.select("node", "m", "v"), "node").join(graph, "node")
     found = save(tasks.groupBy("shard").applyInPandas(links_of, "node long, n long, root long"), "vec-links")
+
+    def apart_of(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node", ignore_index=True)
+        ids, block, times, own = pdf["node"].to_numpy(), pdf["block"].to_numpy(), pdf["m"].to_numpy(), np.stack(pdf["own"])
+        x = _unit(pdf["v"])
+        left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+        count, label = np.zeros(len(ids), dtype=np.int64), np.arange(len(ids))
+        y = x[right].T
+        for at in range(0, len(left), 256):
+            q, r = np.nonzero(x[left[at : at + 256]] @ y >= p.cosine)
+            q, r = left[at + q], right[r]
+            keep = (block[q] != block[r]) | (q < r)
+            for j in range(own.shape[1]):
+                keep &= (own[r] != own[q, j][:, None]).all(axis=1)
+            q, r = q[keep], r[keep]
+            np.add.at(count, q, times[r])
+            np.add.at(count, r, times[q])
+            label = _joined(label, q, r)
+        hit = count > 0
+        return pd.DataFrame({"node": ids[hit], "n": count[hit], "root": ids[label[hit]]})
+
+    # links between nodes without a common cluster: all pairs, in blocks
+    g = int(np.ceil(n / min(4 * p.cap, max(p.cap, n / 32))))
+    pairs = F.transform(F.sequence(F.lit(0), F.lit(g - 1)), lambda j: F.concat_ws("-", F.least(j, F.col("block")), F.greatest(j, F.col("block"))))
+    dealt = placed.withColumn("block", F.pmod(F.xxhash64("node", F.lit(2)), F.lit(g)).cast("int")).withColumn("pair", F.explode(pairs))
+    far = dealt.groupBy("pair").applyInPandas(apart_of, "node long, n long, root long") if k > p.overlap else found.limit(0)
+    found = save(found.union(far), "vec-links-all")
     comp = components(found.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")))
     count = found.groupBy("node").agg(F.sum("n").alias("n"))
     per = nodes.join(count, "node").join(comp.withColumnRenamed("id", "node"), "node", "left")
