@@ -153,44 +153,86 @@ def test_hot_lines_are_settled_exactly(spark, monkeypatch):
 # passages
 
 
-def brute_spans(rows, run=3, least=8):
-    seen, out = set(), {}
-    for i, t in sorted({(r[0], r[1]) for r in rows if r[0] is not None}, key=lambda r: r[0]):
-        if t is None:
-            out[i] = None
+def plain_pieces(t, longest=10, every=5):
+    """Sentences by regular expression; long ones word by word."""
+    out = []
+    for x in re.sub(r"([.!?][\x20\x09-\x0D]+|\n)", "\\1\x01", t).split("\x01"):
+        words = re.findall(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", x)
+        if len(words) <= longest:
+            out.append(x)
             continue
-        pieces = re.sub(r"([.!?][\x20\x09-\x0D]+|\n)", "\\1\x01", t).split("\x01")
-        full = [k for k, x in enumerate(pieces) if WORD.search(x)]
-        bare = [" ".join(WORD.findall(pieces[k])) for k in full]
-        gone = set()
-        for k in range(len(full) - run + 1):
-            g = tuple(bare[k : k + run])
-            if sum(x.count(" ") + 1 for x in g) >= least:
-                gone |= set(full[k : k + run]) if g in seen else set()
-                seen.add(g)
-        out[i] = "".join(x for k, x in enumerate(pieces) if k not in gone)
+        held = []
+        for w in words:
+            held.append(w)
+            if sum(WORD.search(w)[0].encode()) % every == 0 or len(held) == longest:
+                out.append("".join(held))
+                held = []
+        out.append("".join(held))
     return out
 
 
-def test_passages_against_a_plain_pass(spark):
+def brute_spans(rows, words=32, within=False):
+    runs, texts = [], {}
+    for i, t in sorted({(r[0], r[1]) for r in rows if r[0] is not None}, key=lambda r: r[0]):
+        texts[i] = (t, pieces := plain_pieces(t or ""))
+        full = [k for k, x in enumerate(pieces) if WORD.search(x)]
+        for a in range(len(full)):
+            for b in range(a + 1, len(full) + 1):
+                w = WORD.findall("".join(pieces[k] + " " for k in full[a:b]))
+                if len(w) >= words:
+                    runs.append((tuple(w), i, a, full[a:b]))
+                    break
+    first, holders, gone = {}, {}, {}
+    for w, i, a, ks in runs:
+        first.setdefault(w, (i, a))
+        holders.setdefault(w, set()).add(i)
+    for w, i, a, ks in runs:
+        if first[w] != (i, a) and (within or len(holders[w]) > 1):
+            gone.setdefault(i, set()).update(ks)
+    return {i: t if i not in gone else "".join(x for k, x in enumerate(pieces) if k not in gone[i]) for i, (t, pieces) in texts.items()}
+
+
+@pytest.mark.parametrize("within", [False, True])
+def test_passages_against_a_plain_pass(spark, within):
     rng = random.Random(6)
-    pool = [" ".join(rng.choices("abcdefgh", k=rng.randint(1, 9))).capitalize() + rng.choice(".!?") for _ in range(40)]
+    vocab = ["alfa", "bets", "cod", "dé", "e%", "fo", "g,", "ha"]
+    pool = [" ".join(rng.choices(vocab, k=rng.choice([1, 3, 9, 14, 30]))).capitalize() + rng.choice(".!?") for _ in range(40)]
     rows = []
     for i in range(60):
         k = rng.randrange(30)
         own = [f"Own{i} {j} text here." for j in range(rng.randint(0, 4))]
-        rows.append((i, rng.choice([" ", "  ", "\n", "\n\n"]).join(own + pool[k : k + rng.randint(0, 6)] + own[:1]), None, None))
+        gap = rng.choice([" ", "  ", "\n", "\n\n", " \n \n\t"])
+        rows.append((i, rng.choice(["", "\n ", " "]) + gap.join(own + pool[k : k + rng.randint(0, 6)] + own[:1]) + rng.choice(["", " ", "\n"]), None, None))
+    shared = " ".join(f"wort{k}" for k in range(51))  # one long sentence, cut differently on either side
+    rows += [(100, f"left {shared} right one", None, None), (101, f"Other start {shared} and another end of it.", None, None), (102, ("same again " * 40).strip(), None, None)]
+    rows += [(103, "WORD!! " * 60, None, None), (104, "ou " * 300, None, None), (105, "x ou " + "ou " * 99, None, None)]
     rows += ODD + [(None, rows[0][1], None, None)]
-    df = docs(spark, rows).withColumn("i", F.lit(1))
-    got = substring.remove_repeated(df)
-    assert got.columns == [*df.columns, "spans"]
-    want = brute_spans(rows)
-    for r in got.collect():
+    df = docs(spark, rows).withColumns({"i": F.lit(1), "spans": F.lit(2), "_doc": F.lit(3), "gone": F.lit(4)})
+    got = substring.remove_repeated(df, substring.Params(within=within))
+    assert got.columns == [*(c for c in df.columns if c != "spans"), "spans"]
+    want = brute_spans(rows, within=within)
+    rows_got = got.collect()
+    assert len(rows_got) == len(rows)
+    for r in rows_got:
         assert r.text == (rows[0][1] if r.doc_id is None else want[r.doc_id])
         assert r.spans.removed_words >= r.spans.removed
+    removed = {r.doc_id: r.spans.removed for r in rows_got}
+    assert removed[101] > 2 and removed[105] > 2 and (removed[102] > 0) == (removed[103] > 0) == within
     assert substring.remove_repeated(df.limit(0)).collect() == []
 
 
+def test_passages_of_long_texts_and_all_chunks(spark, monkeypatch):
+    monkeypatch.setattr(substring, "CHUNK", 300)
+    rng = random.Random(7)
+    passage = " ".join(letters(rng, ["ka", "lo", "mis", "ted"], 1) for _ in range(60))
+    texts = [letters(rng, ["xo", "pu", "ris", "ged"], n) for n in (5, 40000, 30, 200)]
+    rows = [(i, f"{t} {passage} {t[:50]}" if i != 2 else t, None, None) for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in substring.remove_repeated(docs(spark, rows)).collect()}
+    want = brute_spans([r for r in rows if r[0] != 1])
+    assert {i: got[i].text for i in (0, 2, 3)} == want
+    assert 40 <= got[1].spans.removed_words <= 60 and len(WORD.findall(got[1].text)) == 40000 + 60 + len(texts[1][:50].split()) - got[1].spans.removed_words
+
+
 # mixing
 
 

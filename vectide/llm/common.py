@@ -56,6 +56,17 @@ def drop(*frames: DataFrame) -> None:
             at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of df has, so that an operator's own columns clash with none."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while (name := f"_{name}").lower() in taken:
+            pass
+        out.append(name)
+    return out
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once per row, also where body uses it inside other lambdas."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
