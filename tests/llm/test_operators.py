@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -357,6 +358,36 @@ def test_vectors_against_all_pairs(spark):
     assert vecdedup.report(df.limit(0)).collect() == []
 
 
+def planted(n, low, high, seed=11):
+    """n unit vectors, the second half each at a cosine within low .. high of one of the first half."""
+    rng = np.random.default_rng(seed)
+    u = rng.standard_normal((n, 64))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    h = n // 2
+    side = u[h:] - (u[h:] * u[:h]).sum(axis=1, keepdims=True) * u[:h]
+    cos = rng.uniform(low, high, (h, 1))
+    u[h:] = cos * u[:h] + np.sqrt(1 - cos * cos) * side / np.linalg.norm(side, axis=1, keepdims=True)
+    return u
+
+
+def test_links_across_shards_of_20000_vectors(spark, caplog):
+    u = planted(20000, 0.901, 0.93)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(u)), "embedding": u.tolist()}), "vec_id long, embedding array<double>")
+    want = sum(int((u[at : at + 2000] @ u.T >= 0.9).sum()) for at in range(0, len(u), 2000)) - len(u)
+    with caplog.at_level("INFO", "vectide.llm.vecdedup"):
+        got = vecdedup.report(df).collect()
+    assert "are compared" not in caplog.text and "partition 1:" in caplog.text  # the graphs did it, not all pairs
+    assert want >= 20000 and 0.99 * want <= sum(r.n_links for r in got) <= want
+    assert np.mean([r.component_id == r.vec_id % 10000 for r in got]) > 0.99
+
+
+def test_vectors_of_several_lengths(spark):
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.1]), (3, [1.0, 0.0, 0.0]), (4, [5.0, 0.0, 0.0]), (5, [0.0, 1.0]), (5, [0.0, 1.0]), (6, [3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"other": F.lit(1), "own": F.lit(2)})
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in vecdedup.report(df).collect())
+    assert got == [(1, 1, 1), (2, 1, 1), (3, 1, 3), (4, 1, 3), (5, 0, 5), (5, 0, 5), (6, 0, 6)]
+
+
 def test_vectors_without_a_common_cluster(spark):
     rng = np.random.default_rng(11)
     x = rng.standard_normal((3000, 64))
@@ -367,7 +398,7 @@ def test_vectors_without_a_common_cluster(spark):
         u[i] = cos * u[i - 1500] + np.sqrt(1 - cos * cos) * side / np.linalg.norm(side)
     df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(u)], "vec_id long, embedding array<double>")
     want = int((u @ u.T >= 0.9).sum()) - len(u)
-    got = vecdedup.report(df, vecdedup.Params(size=64, cap=500, overlap=1)).collect()
+    got = vecdedup.report(df, vecdedup.Params(size=64, cap=500, overlap=1, partitions=1)).collect()
     assert 0.999 * want <= sum(r.n_links for r in got) <= want
 
 

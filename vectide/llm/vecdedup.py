@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 
 import numpy as np
@@ -9,7 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vectide.llm.common import components, save
+from vectide.llm.common import components, drop, save
+
+LOG = logging.getLogger(__name__)
 
 
 @dataclass(frozen=True)
@@ -20,7 +23,9 @@ class Params:
     centres: most clusters (their table is sent to every worker). near, far: candidates for a row's edges, the nearest in the
     shard and as many spread ones. degree: edges kept of a row, alpha: how much closer an edge's end must be for it to stand in
     for another. beam: width of the search. audits: rows of a shard searched by brute force as well; recall: least share of
-    links that the search must find of theirs, or else the beam is doubled, up to `widenings` times.
+    links that the search must find of theirs, or else the beam is doubled, up to `widenings` times. judged: rows at most that are
+    compared with all rows, wherever they are; while less than `recall` of their links has been found, the rows are dealt to clusters
+    around other centres, up to `partitions` times in all.
     """
 
     cosine: float = 0.9
@@ -37,6 +42,8 @@ class Params:
     audits: int = 48
     recall: float = 0.999
     widenings: int = 4
+    judged: int = 2048
+    partitions: int = 6
     seed: int = 3
 
 
@@ -188,42 +195,108 @@ def _unit(vectors) -> np.ndarray:
 def link(vectors: DataFrame, p: Params = Params(), key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(key, n_links, component_id) for every row: links to other vectors with cosine >= p.cosine in double precision.
 
-    Vectors that are null, zero, or hold null or non-finite components link with nothing, as do those whose length is not the most
-    common one; they keep their own id, as does a row with a null key. Rows with one key are one vector, given by any of them.
-    Equal vectors are one node with a count, so copies never meet as pairs. An empty table gives no rows.
-
-    Each node joins its nearest clusters; each cluster, or pair of parts of a large one, is a shard of bounded size, in
-    which a pruned graph is built. The nodes' edges of all shards are united, each shard is searched along them from its medoid
-    for all its rows, and every link is checked in double precision. Two shards that both find a pair count it once: in the
-    first shard that the two share; a shard in which no beam passes its audit is searched by brute force. Pairs of nodes without a
-    common cluster are held against each other in blocks, all of them, so that part costs the square of the nodes. A shard passes on its rows' counts and a spanning forest of its links, not the pairs.
+    Vectors that are null, zero, or hold null or non-finite components link with nothing; they keep their own id, as does a row
+    with a null key. Vectors of one length are compared with one another; each length that occurs takes a run of its own. Rows
+    with one key are one vector, the smallest of them. Equal vectors are one node with a count, so copies never meet as pairs. An
+    empty table gives no rows. Other columns, whatever their names, are not looked at.
     """
-    spark = vectors.sparkSession
     plain = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    good = plain.where(F.col("id").isNotNull() & usable(F.col("v")))
-    common = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    nothing = plain.select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    if common is None:
-        return nothing
-    good = good.where(F.size("v") == common["d"]).groupBy("id").agg(F.min("v").alias("v"))
+    good = plain.where(F.col("id").isNotNull() & usable(F.col("v"))).groupBy("id").agg(F.min("v").alias("v"))
+    lengths = [r.d for r in good.select(F.size("v").alias("d")).distinct().orderBy("d").collect()]
+    of_id = None
+    for d in lengths:
+        one = _link_nodes(good.where(F.size("v") == d), p)
+        of_id = one if of_id is None else of_id.unionByName(one)
+    if of_id is None:
+        return plain.select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    out = plain.select("id").join(of_id, F.col("id") == F.col("other"), "left")
+    return out.select(F.col("id").alias(key), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "id").alias("component_id"))
+
+
+def _first_by_hash(nodes: DataFrame, n: int, seed: int) -> DataFrame:
+    """The rows of nodes with the n smallest hashes of (node, seed)."""
+    order = F.xxhash64("node", F.lit(seed))
+    last = nodes.select(order.alias("h")).orderBy("h").limit(n).agg(F.max("h")).first()[0]
+    return nodes.where(order <= F.lit(last))
+
+
+def _link_nodes(good: DataFrame, p: Params) -> DataFrame:
+    """(other, n, c) for rows (id, v) with usable vectors of one length: id, number of links, component.
+
+    Each node joins its nearest clusters; each cluster, or pair of parts of a large one, is a shard of bounded size, in which a
+    pruned graph is built. The nodes' edges of all shards are united, each shard is searched along them from its medoid for all its
+    rows, and every link is checked in double precision. Two shards that both find a pair count it once: in the first one that the
+    two share; a shard in which no beam passes its audit is searched by brute force. Then some rows are compared with all rows; as
+    long as too few of their links have been found, all nodes are dealt again around other centres, so that pairs which a border had
+    parted meet, and the new edges join the graph. Each partition costs as much as the first, so the whole grows with the rows. Only
+    if p.partitions of them don't do (audited rows say so), nodes without a common cluster are held against each other in blocks,
+    which costs the square of the nodes. A shard passes on its rows' counts and a spanning forest of its links, not the pairs.
+    """
+    spark = good.sparkSession
     nodes = save(good.groupBy("v").agg(F.min("id").alias("node"), F.count("*").alias("m")), "vec-nodes")
     n = nodes.count()
-    order = F.xxhash64("node")
-    last = nodes.select(order.alias("h")).orderBy("h").limit(p.sample).agg(F.max("h")).first()[0]
-    sample = _unit(nodes.where(order <= F.lit(last)).select("v").toPandas()["v"])
-    k = int(min(p.centres, max(1, np.ceil(n * p.overlap / p.size))))
-    sent = spark.sparkContext.broadcast(fit_centres(sample, k, p.seed))
+    dim = nodes.select(F.size("v")).first()[0]
+    few = max(1, (64 << 20) // (8 * dim))  # what goes to the driver or to all workers has 64 MB at most
+    sample = _unit(_first_by_hash(nodes, min(p.sample, few), 0).select("v").toPandas()["v"])
+    k = int(min(p.centres, few, max(1, np.ceil(n * p.overlap / p.size))))
+    judged = _first_by_hash(nodes, min(p.judged, few), 1).select("node", "v").toPandas()
+    judges = spark.sparkContext.broadcast((judged["node"].to_numpy(), _unit(judged["v"])))
+
+    def met_by(parts):
+        ids, y = judges.value
+        count = np.zeros(len(ids), dtype=np.int64)
+        for pdf in parts:
+            for at in range(0, len(pdf), 2048):
+                some = pdf.iloc[at : at + 2048]
+                near = _unit(some["v"]) @ y.T >= p.cosine
+                near &= some["node"].to_numpy()[:, None] != ids
+                count += some["m"].to_numpy() @ near
+        yield pd.DataFrame({"node": ids, "n": count})
+
+    truth = nodes.select("node", "m", "v").mapInPandas(met_by, "node long, n long").groupBy("node").agg(F.sum("n").alias("n")).toPandas()
+    wanted = int(truth["n"].sum())
+    asked = spark.createDataFrame([(int(i),) for i in judged["node"]], "node long")
+    placed = save(nodes.select("node", "m", "v", F.expr("cast(array() as array<int>)").alias("own")), "vec-placed")
+    graph, found, done = None, None, False
+    for r in range(p.partitions):
+        placed, graph, more = _partition(placed, graph, k, fit_centres(sample, k, p.seed + r), r, p)
+        found = more if found is None else found.unionByName(more)
+        got = found.join(F.broadcast(asked), "node").agg(F.sum("n")).first()[0] or 0
+        done = k <= p.overlap or got >= p.recall * wanted
+        LOG.info("partition %d: %d of %d links of %d audited vectors", r + 1, got, wanted, len(judged))
+        if done:
+            break
+    if not done:
+        LOG.warning("%d partitions are not enough: all nodes without a common cluster are compared", p.partitions)
+        found = found.unionByName(_apart(placed, n, p))
+    found = save(found, "vec-links-all")
+    comp = components(found.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+    count = found.groupBy("node").agg(F.sum("n").alias("n"))
+    per = nodes.join(count, "node").join(comp.withColumnRenamed("id", "node"), "node", "left")
+    per = per.select("v", (F.col("n") + F.col("m") - 1).alias("n"), F.coalesce("component", "node").alias("c"))
+    out = save(good.join(per, "v").select(F.col("id").alias("other"), "n", "c"), "vec-out")
+    drop(nodes, placed, graph, found, comp)
+    return out
+
+
+def _partition(placed: DataFrame, graph: DataFrame | None, k: int, centres: np.ndarray, r: int, p: Params) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The r-th dealing to clusters: placed (node, m, v, own) with the new clusters in own, the graph (node, e) with the new edges,
+    and what the search of the new shards finds (node, n, root). Clusters are numbered on from those of earlier partitions."""
+    spark = placed.sparkSession
+    sent, base = spark.sparkContext.broadcast(centres), r * p.centres
 
     @F.pandas_udf("array<int>")
     def nearest(v: pd.Series) -> pd.Series:
-        r = min(p.overlap, len(sent.value))
+        m = min(p.overlap, len(sent.value))
         sims = _unit(v) @ sent.value.T
-        return pd.Series(list(np.sort(np.argpartition(-sims, r - 1, axis=1)[:, :r], axis=1).astype(np.int32)))
-
-    placed = save(nodes.select("node", "m", "v", nearest("v").alias("own")), "vec-placed")
-    in_cluster = placed.select("node", "own", F.explode("own").alias("c"))
-    large = in_cluster.groupBy("c").agg(F.count("*").alias("size")).select("c", F.ceil(F.col("size") / F.lit(p.cap / 2)).cast("int").alias("g"), (F.col("size") > p.cap).alias("split"))
-    large = large.select("c", F.when(F.col("split"), F.col("g")).otherwise(1).alias("g"))
+        return pd.Series(list(base + np.sort(np.argpartition(-sims, m - 1, axis=1)[:, :m], axis=1).astype(np.int32)))
+
+    old = placed
+    placed = save(placed.select("node", "m", "v", F.concat("own", nearest("v")).alias("own")), "vec-placed")
+    drop(old)
+    in_cluster = placed.select("node", "own", F.explode("own").alias("c")).where(F.col("c") >= base)
+    large = in_cluster.groupBy("c").agg(F.count("*").alias("size"))
+    large = large.select("c", F.when(F.col("size") > p.cap, F.ceil(F.col("size") / F.lit(p.cap / 2))).otherwise(1).cast("int").alias("g"))
     part = F.pmod(F.xxhash64("node", F.lit(1)), F.col("g")).cast("int")
     blocks = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda j: F.struct(F.least(j, F.col("part")).alias("x"), F.greatest(j, F.col("part")).alias("y")))
     shards = in_cluster.join(large, "c").withColumn("part", part).select("node", "own", "c", "part", F.explode(blocks).alias("b"))
@@ -235,8 +308,11 @@ def link(vectors: DataFrame, p: Params = Params(), key: str = "vec_id", vector:
         return pd.DataFrame({"node": ids, "e": [ids[row[row >= 0]] for row in made]})
 
     rows = shards.select("node", "shard").join(placed.select("node", "v"), "node")
-    graph = rows.groupBy("shard").applyInPandas(edges_of, "node long, e array<long>")
-    graph = save(graph.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("e"))).alias("e")), "vec-graph")
+    edges = rows.groupBy("shard").applyInPandas(edges_of, "node long, e array<long>")
+    edges = edges if graph is None else edges.unionByName(graph)
+    old, graph = graph, save(edges.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("e"))).alias("e")), "vec-graph")
+    if old is not None:
+        drop(old)
 
     def links_of(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node", ignore_index=True)
@@ -249,36 +325,43 @@ def link(vectors: DataFrame, p: Params = Params(), key: str = "vec_id", vector:
             at = np.minimum(np.searchsorted(ids, e), size - 1)
             at = at[ids[at] == e]
             edges[i, : len(at)] = at
+        edges = edges[:, : max(1, int((edges >= 0).sum(axis=1).max()))]
         start = int((x @ x.mean(axis=0)).argmax())
         beam = p.beam
         audit = np.random.default_rng(p.seed).choice(size, min(p.audits, size), replace=False)
         truth = (x[audit] @ x.T >= p.cosine).sum() - len(audit)
-        for k in range(p.widenings + 1):
+        for w in range(p.widenings + 1):
             passed = truth == 0 or len(search(x, edges, audit, start, beam, p)[0]) >= p.recall * truth
-            if passed or k == p.widenings:
+            if passed or w == p.widenings:
                 break
             beam *= 2
         count, label = np.zeros(size, dtype=np.int64), np.arange(size)
         for at in range(0, size, 256):
             queries = np.arange(at, min(at + 256, size))
             if passed:
-                q, r = search(x, edges, queries, start, beam, p)
+                q, found = search(x, edges, queries, start, beam, p)
             else:  # no beam was wide enough: all pairs
-                q, r = np.nonzero(x[queries] @ x.T >= p.cosine)
-                q, r = q[queries[q] != r], r[queries[q] != r]
+                q, found = np.nonzero(x[queries] @ x.T >= p.cosine)
+                q, found = q[queries[q] != found], found[queries[q] != found]
             q = queries[q]
-            label = _joined(label, q, r)
+            label = _joined(label, q, found)
             # a pair counts here if no earlier cluster has both, and in a block of two parts only if it crosses them
             shared = np.full(len(q), np.iinfo(np.int32).max)
             for j in range(own.shape[1]):
-                both = (own[r] == own[q, j][:, None]).any(axis=1)
+                both = (own[found] == own[q, j][:, None]).any(axis=1)
                 shared = np.where(both, np.minimum(shared, own[q, j]), shared)
-            here = (shared == cluster) & ((part[q] != part[r]) | (not mixed))
-            np.add.at(count, q[here], times[r[here]])
+            here = (shared == cluster) & ((part[q] != part[found]) | (not mixed))
+            np.add.at(count, q[here], times[found[here]])
         return pd.DataFrame({"node": ids, "n": count, "root": ids[label]})
 
     tasks = shards.join(placed.select("node", "m", "v"), "node").join(graph, "node")
     found = save(tasks.groupBy("shard").applyInPandas(links_of, "node long, n long, root long"), "vec-links")
+    drop(shards)
+    return placed, graph, found
+
+
+def _apart(placed: DataFrame, n: int, p: Params) -> DataFrame:
+    """(node, n, root): links between nodes without a common cluster, from all pairs, in blocks."""
 
     def apart_of(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node", ignore_index=True)
@@ -300,19 +383,10 @@ def link(vectors: DataFrame, p: Params = Params(), key: str = "vec_id", vector:
         hit = count > 0
         return pd.DataFrame({"node": ids[hit], "n": count[hit], "root": ids[label[hit]]})
 
-    # links between nodes without a common cluster: all pairs, in blocks
     g = int(np.ceil(n / min(4 * p.cap, max(p.cap, n / 32))))
     pairs = F.transform(F.sequence(F.lit(0), F.lit(g - 1)), lambda j: F.concat_ws("-", F.least(j, F.col("block")), F.greatest(j, F.col("block"))))
     dealt = placed.withColumn("block", F.pmod(F.xxhash64("node", F.lit(2)), F.lit(g)).cast("int")).withColumn("pair", F.explode(pairs))
-    far = dealt.groupBy("pair").applyInPandas(apart_of, "node long, n long, root long") if k > p.overlap else found.limit(0)
-    found = save(found.union(far), "vec-links-all")
-    comp = components(found.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")))
-    count = found.groupBy("node").agg(F.sum("n").alias("n"))
-    per = nodes.join(count, "node").join(comp.withColumnRenamed("id", "node"), "node", "left")
-    per = per.select("v", (F.col("n") + F.col("m") - 1).alias("n"), F.coalesce("component", "node").alias("c"))
-    of_id = good.join(per, "v").select(F.col("id").alias("__id"), "n", "c")
-    out = plain.select("id").join(of_id, F.col("id") == F.col("__id"), "left")
-    return out.select(F.col("id").alias(key), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "id").alias("component_id"))
+    return dealt.groupBy("pair").applyInPandas(apart_of, "node long, n long, root long")
 
 
 def report(vectors: DataFrame, p: Params = Params(), key: str = "vec_id", vector: str = "embedding") -> DataFrame:
