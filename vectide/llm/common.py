@@ -78,6 +78,18 @@ def words(text: Column) -> Column:
     return F.filter(F.split(plain, " "), lambda w: w != "")
 
 
+def join_hot(rows: DataFrame, facts: DataFrame, keys: list[str], count: str, share: int = 1000) -> DataFrame:
+    """rows joined with facts on keys. facts has one row for each key, and how many rows have it in `count`.
+
+    Keys that more than 1 / share of the counted rows have are `share` at most; these are sent to all tasks, so that no task gets
+    all rows of a key. facts is read several times: give a written table.
+    """
+    total = facts.agg(F.sum(count)).first()[0] or 0
+    is_hot = F.col(count) * share > F.lit(total)
+    hot = F.broadcast(facts.where(is_hot))
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(keys), keys, "left_anti").join(facts.where(~is_hot), keys))
+
+
 #: Bits of the table of maybe_in(). Its size is fixed: where it fills up, more rows pass, and the exact join that follows drops them.
 FILTER_BITS = 1 << 20
 

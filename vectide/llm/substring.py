@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectide.llm.common import drop, save, unused
+from vectide.llm.common import drop, join_hot, save, unused
 
 
 @dataclass(frozen=True)
@@ -33,7 +33,7 @@ class Params:
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes that are parsed together; a longer text is parsed alone.
-CHUNK = 1 << 21
+CHUNK = 1 << 18
 _M = (0x9E3779B97F4A7C15 | 3, 0xC2B2AE3D27D4EB4F | 3, 0x165667B19E3779FB)
 _TABLE = np.random.default_rng(11).integers(0, 1 << 64, 256, dtype=np.uint64)
 
@@ -175,11 +175,12 @@ def repeated(docs: DataFrame, p: Params = Params(), key: str = "doc_id", text: s
     again = save(again, "spans-again")
     some = save(runs_of(docs, p, key, text).join(again, "h1").select("doc", "i", "n", "h1", "h2"), "spans-some")
     drop(again)
-    first = some.groupBy("h1", "h2").agg(F.min(F.struct("doc", "i")).alias("lo"), many.alias("many")).where("many").select("h1", "h2", F.col("lo.doc").alias("d"), F.col("lo.i").alias("j"))
-    later = some.join(first, ["h1", "h2"]).where("doc != d or i != j")
+    first = some.groupBy("h1", "h2").agg(F.min(F.struct("doc", "i")).alias("lo"), many.alias("many"), F.count("*").alias("c")).where("many")
+    first = save(first.select("h1", "h2", F.col("lo.doc").alias("d"), F.col("lo.i").alias("j"), "c"), "spans-first")
+    later = join_hot(some, first, ["h1", "h2"], "c").where("doc != d or i != j")
     packed = F.shiftleft(F.col("i").cast("long"), 32).bitwiseOR(F.col("n").cast("long"))
     out = save(later.groupBy("doc").agg(F.collect_set(packed).alias("gone")), "spans-gone")
-    drop(some)
+    drop(some, first)
     return out
 
 
