@@ -7,13 +7,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from vectide.functions import vectors as V
-from vectide.operators import kmeans
+from vectide.operators import blocks, kmeans
 from vectide.operators.binary import BinaryQuantizer
 from vectide.operators.fastscan import FastScan
 from vectide.operators.flat import FlatIndex, batch_linear_scan, linear_scan, linear_scan_vectors
 from vectide.operators.ivf import IvfFlatIndex
 from vectide.operators.kdforest import KdForest, SearchParams, TreeParams
-from vectide.operators.measures import geometry, means, per_query
+from vectide.operators.measures import geometry, means, per_query, reciprocal_rank_of
 from vectide.operators.product import ProductQuantizer
 from vectide.operators.scalar import ScalarQuantizer, mean_squared_error, two_stage
 from vectide.sources import vecs
@@ -272,7 +272,12 @@ def test_measures(spark):
     assert abs(per_query(three, ranking(spark, {0: [100, 200, 300]}), 3).first().ndcg - 1) < 1e-12
     both = means(ranking(spark, {0: [10, 20], 1: [30, 40]}), ranking(spark, {0: [10, 20], 1: [30, 99]}), 2).first()
     assert both.mean_recall == 0.75 and both.mrr == 1
-    assert means(ranking(spark, {0: [10], 1: [30]}), ranking(spark, {0: [10]}), 1).first().mean_recall == 0
+    # a query that finds nothing is an empty list and counts as 0; another number of lists than of queries gives 0
+    truth, found = ranking(spark, {0: [10], 1: [30]}), ranking(spark, {0: [10]})
+    assert tuple(means(truth, found, 1).first()) == tuple(means(truth, found, 1, 2).first()) == (0.5,) * 4
+    assert tuple(means(truth, found, 1, 1).first()) == tuple(means(truth.limit(0), found, 1).first()) == (0,) * 4
+    assert per_query(truth, found, 0).where("query_id = 0").first().reciprocal_rank == 1
+    assert {r.query_id: r.reciprocal_rank for r in reciprocal_rank_of(ranking(spark, {0: [5, 42], 1: [7]}), 42).collect()} == {0: 0.5, 1: 0.0}
 
 
 def test_geometry(spark):
@@ -311,3 +316,17 @@ def test_stream_appends_postings(spark, tmp_path):
     append_postings(stream, index, str(tmp_path / "out"), str(tmp_path / "log")).awaitTermination()
     got = {(r.list_id, r.id) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {(r.list_id, r.id) for r in index.postings.collect()}
+
+
+def test_queries_that_are_sent_and_dealt_give_the_same(spark, monkeypatch):
+    rows = spark.range(3000).select("id", F.transform(F.sequence(F.lit(0), F.lit(15)), lambda d: ((F.col("id") * 7 + d * 13) % 101).cast("float")).alias("vec")).repartition(3)
+    asked = rows.where("id % 100 = 0").select(F.col("id").alias("query_id"), "vec")
+    index = IvfFlatIndex(spark, 16, 4).train(rows, 2).add(rows)
+    search = lambda: [sorted(map(tuple, df.collect())) for df in (batch_linear_scan(rows, asked, 7), index.batch_search(asked, 7, 2))]
+    sent = search()
+    monkeypatch.setattr(blocks, "SENT", 0)
+    assert search() == sent and len(sent[0]) == 210
+    assert batch_linear_scan(rows, asked.limit(0), 7).collect() == batch_linear_scan(rows.limit(0), asked, 7).collect() == []
+    odd = rows.unionByName(spark.createDataFrame([(9000, [1.0])], "id long, vec array<float>"))
+    with pytest.raises(Exception, match="several lengths"):
+        batch_linear_scan(odd.coalesce(1), asked, 7).collect()

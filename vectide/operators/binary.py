@@ -26,12 +26,22 @@ class BinaryQuantizer:
 
     def search(self, codes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         """(query_id, rank, id, distance): greatest inner products of whole queries with the signs; the distance is the negated product."""
-        signs = codes.select("id", V.sign_values(F.col("words"), self.dim).alias("s"))
-        return scan(signs, queries, ["s"], ["vec"], lambda q, x: -(q["vec"] @ x["s"].T), k)
+        dim = self.dim
+
+        def score(q, x):
+            bits = np.unpackbits(np.ascontiguousarray(x["words"]).view(np.uint8), axis=1, bitorder="little")[:, :dim]
+            a = q["vec"].astype(np.float64)
+            return a.sum(axis=1)[:, None] - 2 * (a @ bits.T.astype(np.float64))
+
+        return scan(codes, queries, ["words"], ["vec"], score, k)
 
     def nearest_codes(self, codes: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-        """(query_id, rank, id, distance): least Hamming distances between codes; asked has query_id and words."""
-        dim = self.dim
-        signs = codes.select("id", V.sign_values(F.col("words"), dim).alias("s"))
-        q = asked.select("query_id", V.sign_values(F.col("words"), dim).alias("s"))
-        return scan(signs, q, ["s"], ["s"], lambda a, x: np.round((dim - a["s"] @ x["s"].T) / 2), k)
+        """(query_id, rank, id, distance): least Hamming distances between codes, by bit counts; asked has query_id and words."""
+
+        def score(q, x):
+            out = np.zeros((len(q["words"]), len(x["words"])))
+            for j in range(x["words"].shape[1]):
+                out += np.bitwise_count(q["words"][:, j, None].view(np.uint64) ^ x["words"][:, j].view(np.uint64))
+            return out
+
+        return scan(codes, asked, ["words"], ["words"], score, k)

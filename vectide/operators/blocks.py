@@ -1,7 +1,7 @@
 """Exact scoring of a set of queries against all rows, in blocks of both, and the best k of each query.
 
-Rows are packed into blocks where they lie; each block of queries is dealt to all groups of row blocks, so the scores of a pair of
-blocks are one matrix product, and only k rows for each query and block are exchanged.
+Rows stay where they lie. A set of queries of a checked size is sent to all tasks; each batch of rows and all queries are one matrix
+product, and a task passes on k rows for each query. Larger sets of queries are dealt in blocks to groups of row blocks.
 """
 
 from __future__ import annotations
@@ -10,41 +10,97 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectide.functions.vectors import TINY, Metric, parse_metric
 
-ROWS, QUERIES, DEAL = 8192, 512, 16
+#: Rows of a block, queries of a block, and bytes of queries that are sent to all tasks at most.
+ROWS, QUERIES, SENT = 8192, 512, 64 << 20
+#: Numpy's name of what an array column holds; blocks keep the stored type.
+TYPES = {"float": "f4", "double": "f8", "tinyint": "i1", "smallint": "i2", "int": "i4", "bigint": "i8"}
 Arrays = dict[str, np.ndarray]
 
 
-def pack(df: DataFrame, key: str, columns: list[str], rows: int) -> DataFrame:
-    """Blocks (ids, one binary matrix for each column): array and number columns as doubles, of up to `rows` rows of a partition."""
+def _types(df: DataFrame, columns: list[str]) -> dict[str, str]:
+    return {c: TYPES[df.schema[c].dataType.elementType.simpleString()] for c in columns}
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
 
-        def block(pdf: pd.DataFrame) -> pd.DataFrame:
-            out: dict = {"ids": [pdf["k"].to_numpy(np.int64)]}
-            for c in columns:
-                first = pdf[c].iloc[0]
-                m = np.stack(pdf[c].to_list()) if isinstance(first, (list, np.ndarray)) else pdf[c].to_numpy()[:, None]
-                out[c] = [np.ascontiguousarray(m, dtype=np.float64).tobytes()]
-            return pd.DataFrame(out)
+def matrix(column, dtype: str) -> np.ndarray:
+    """Rows of an Arrow list column, all of one length, as a matrix. Null vectors or components and other lengths are an error."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat = column.flatten()
+    if column.null_count or flat.null_count or (len(column) and len(flat) % len(column)):
+        raise ValueError("vectors are null or of several lengths")
+    if len(column) and (np.diff(column.offsets.to_numpy()) != len(flat) // len(column)).any():
+        raise ValueError("vectors are of several lengths")
+    return flat.to_numpy(zero_copy_only=False).astype(dtype, copy=False).reshape(len(column), len(flat) // max(1, len(column)))
 
-        for pdf in parts:
-            held.append(pdf)
-            if sum(map(len, held)) >= rows:
-                whole = pd.concat(held, ignore_index=True)
-                for at in range(0, len(whole) - rows + 1, rows):
-                    yield block(whole.iloc[at : at + rows])
-                held = [whole.iloc[len(whole) // rows * rows :]] if len(whole) % rows else []
-        if held and sum(map(len, held)):
-            yield block(pd.concat(held, ignore_index=True))
+
+class Best:
+    """The best k of each query (distance, then id) of what has been seen."""
+
+    def __init__(self, q_ids: np.ndarray, k: int):
+        self.q_ids, self.k = q_ids, k
+        self.q, self.id, self.d = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.bound = np.full(len(q_ids), np.inf)  # of each query with k rows so far, the worst one's distance
+
+    def see(self, at: np.ndarray, ids: np.ndarray, d: np.ndarray) -> None:
+        """d: distances of the queries numbered `at` to rows with these ids."""
+        bound = self.bound[at]
+        open_ = np.isinf(bound) if d.shape[1] > self.k else np.zeros(len(at), bool)
+        if open_.any():
+            worst = np.partition(d[open_], self.k - 1, axis=1)[:, self.k - 1]
+            bound[open_] = np.where(np.isnan(worst), np.inf, worst)
+        q, r = np.nonzero(d <= bound[:, None])
+        if len(q):
+            self.q, self.id, self.d = np.concatenate([self.q, at[q]]), np.concatenate([self.id, ids[r]]), np.concatenate([self.d, d[q, r]])
+        if open_.any() or len(self.q) > 2 * self.k * len(self.q_ids):
+            self.cut()
+
+    def cut(self) -> None:
+        order = np.lexsort((self.id, self.d, self.q))
+        q = self.q[order]
+        first = np.concatenate([[True], q[1:] != q[:-1]]) if len(q) else np.zeros(0, bool)
+        at = np.arange(len(q))
+        nth = at - np.maximum.accumulate(np.where(first, at, 0)) if len(q) else at
+        order = order[nth < self.k]
+        self.q, self.id, self.d = self.q[order], self.id[order], self.d[order]
+        last = nth[nth < self.k] == self.k - 1
+        self.bound[self.q[last]] = self.d[last]
+
+    def rows(self) -> pd.DataFrame:
+        self.cut()
+        return pd.DataFrame({"query_id": self.q_ids[self.q], "id": self.id, "distance": self.d})
+
+
+HITS = "query_id long, id long, distance double"
+
+
+def sent(queries: DataFrame, key: str, columns: list[str]):
+    """(ids, matrices by column) of the queries, broadcast, if they have SENT bytes at most; else None."""
+    types = _types(queries, columns)
+    size = queries.agg(F.count("*").alias("n"), *(F.coalesce(F.sum(F.size(c)), F.lit(0)).alias(c) for c in columns)).first()
+    if size["n"] * 8 + sum(size[c] * np.dtype(types[c]).itemsize for c in columns) > SENT:
+        return None
+    got = queries.select(F.col(key).alias("k"), *columns).toArrow()
+    return queries.sparkSession.sparkContext.broadcast((got["k"].to_numpy().astype(np.int64), {c: matrix(got[c], types[c]) for c in columns}))
+
+
+def pack(df: DataFrame, key: str, columns: list[str], rows: int) -> DataFrame:
+    """Blocks (ids, one binary matrix for each array column, in the stored type) of up to `rows` rows of a partition."""
+    types = _types(df, columns)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for at in range(0, part.num_rows, rows):
+                some = part.slice(at, rows)
+                out = {"ids": pa.array([some["k"].to_numpy(zero_copy_only=False).astype(np.int64)], pa.list_(pa.int64()))}
+                yield pa.RecordBatch.from_pydict(out | {c: pa.array([matrix(some[c], types[c]).tobytes()], pa.binary()) for c in columns})
 
     schema = ", ".join(["ids array<bigint>", *(f"{c} binary" for c in columns)])
-    return df.select(F.col(key).alias("k"), *columns).mapInPandas(run, schema)
+    return df.select(F.col(key).alias("k"), *columns).mapInArrow(run, schema)
 
 
 def best(hits: DataFrame, k: int, query: str = "query_id") -> DataFrame:
@@ -57,36 +113,61 @@ def scan(base: DataFrame, queries: DataFrame, columns: list[str], query_columns:
     """best() of all rows for every query. score(queries, rows) gives a matrix of distances from matrices by column name."""
     if k < 1:
         return base.select(F.lit(0).cast("long").alias("query_id"), F.lit(0).alias("rank"), F.lit(0).cast("long").alias("id"), F.lit(0.0).alias("distance")).limit(0)
-    rows = pack(base, id, columns, ROWS).withColumn("deal", F.pmod(F.xxhash64(F.get("ids", F.lit(0))), F.lit(DEAL)).cast("int"))
+    types, asked = _types(base, columns), sent(queries, query_id, query_columns)
+    if asked is None:
+        return best(_dealt(base, queries, columns, query_columns, score, k, id, query_id), k)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+        q_ids, q = asked.value
+        found = Best(q_ids, k)
+        for part in parts:
+            for at in range(0, part.num_rows if len(q_ids) else 0, ROWS):
+                some = part.slice(at, ROWS)
+                x, ids = {c: matrix(some[c], types[c]) for c in columns}, some["k"].to_numpy(zero_copy_only=False)
+                for b in range(0, len(q_ids), QUERIES):
+                    found.see(np.arange(b, min(b + QUERIES, len(q_ids))), ids, score({c: m[b : b + QUERIES] for c, m in q.items()}, x))
+        yield pa.RecordBatch.from_pandas(found.rows(), preserve_index=False)
+
+    return best(base.select(F.col(id).cast("long").alias("k"), *columns).mapInArrow(run, HITS), k)
+
+
+def _dealt(base: DataFrame, queries: DataFrame, columns: list[str], query_columns: list[str], score, k: int, id: str, query_id: str) -> DataFrame:
+    """Hits of sets of queries that are too large to be sent: blocks of queries meet groups of row blocks, as many groups as blocks
+    of rows up to the number of shuffle partitions."""
+    types, q_types = _types(base, columns), _types(queries, query_columns)
+    groups = int(min(max(1, -(-base.count() // ROWS)), int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    rows = pack(base, id, columns, ROWS).withColumn("deal", F.pmod(F.xxhash64(F.get("ids", F.lit(0))), F.lit(groups)).cast("int"))
     asked = pack(queries.select(F.col(query_id), *(F.col(c).alias(f"q_{c}") for c in query_columns)), query_id, [f"q_{c}" for c in query_columns], QUERIES)
-    asked = asked.withColumnRenamed("ids", "q_ids").withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEAL - 1))))
+    asked = asked.withColumnRenamed("ids", "q_ids").withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             for r in pdf.itertuples(index=False):
                 ids, q_ids = np.asarray(r.ids), np.asarray(r.q_ids)
-                x = {c: np.frombuffer(getattr(r, c), np.float64).reshape(len(ids), -1) for c in columns}
-                q = {c: np.frombuffer(getattr(r, f"q_{c}"), np.float64).reshape(len(q_ids), -1) for c in query_columns}
-                d = score(q, x)
-                order = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :k]
-                yield pd.DataFrame({"query_id": np.repeat(q_ids, order.shape[1]), "id": ids[order].ravel(), "distance": np.take_along_axis(d, order, axis=1).ravel()})
+                x = {c: np.frombuffer(getattr(r, c), types[c]).reshape(len(ids), -1) for c in columns}
+                q = {c: np.frombuffer(getattr(r, f"q_{c}"), q_types[c]).reshape(len(q_ids), -1) for c in query_columns}
+                found = Best(q_ids, k)
+                found.see(np.arange(len(q_ids)), ids, score(q, x))
+                yield found.rows()
 
-    hits = asked.join(rows, "deal").mapInPandas(run, "query_id long, id long, distance double")
-    return best(hits, k)
+    return asked.join(rows, "deal").mapInPandas(run, HITS)
 
 
 def metric_scores(metric: str | Metric) -> Callable[[Arrays, Arrays], np.ndarray]:
-    """Distances of all pairs of two matrices named vec, by matrix product; squared L2 is kept from falling below 0."""
+    """Distances of all pairs of two matrices named vec, by matrix product in doubles; squared L2 is kept from falling below 0."""
     m = parse_metric(metric)
 
     def score(q: Arrays, x: Arrays) -> np.ndarray:
-        a, b = q["vec"], x["vec"]
+        a, b = q["vec"].astype(np.float64, copy=False), x["vec"].astype(np.float64, copy=False)
         dot = a @ b.T
         if m is Metric.IP:
-            return -dot
+            return np.negative(dot, out=dot)
         n, k = np.einsum("ij,ij->i", a, a), np.einsum("ij,ij->i", b, b)
         if m is Metric.L2:
-            return np.maximum(n[:, None] - 2 * dot + k, 0)
+            dot *= -2
+            dot += n[:, None]
+            dot += k
+            return np.maximum(dot, 0, out=dot)
         size = np.sqrt(n[:, None] * k)
         return np.where(size <= TINY, 0.0, 1 - np.clip(dot / np.maximum(size, TINY), -1, 1))
 

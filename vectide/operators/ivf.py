@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectide.functions.vectors import Metric, distance, parse_metric
 from vectide.operators import kmeans
-from vectide.operators.blocks import best, metric_scores
+from vectide.operators.blocks import HITS, QUERIES, Best, best, matrix, metric_scores, sent
 
 
 class IvfFlatIndex:
@@ -57,10 +60,33 @@ class IvfFlatIndex:
         return queries.select("query_id", F.col("vec").alias("q"), F.explode(nearest(F.col("vec").cast("array<double>"))).alias("list_id"))
 
     def batch_search(self, queries: DataFrame, k: int, nprobe: int = 1) -> DataFrame:
-        """(query_id, rank, id, distance) among the probed lists; fewer than k rows if those hold fewer; none for k <= 0."""
+        """(query_id, rank, id, distance) among the probed lists; fewer than k rows if those hold fewer; none for k <= 0.
+
+        Queries of a checked size go to the postings, which stay where they lie: each batch's rows of a list and the queries that
+        probe it are one matrix product. Larger sets of queries meet the postings in a join."""
         self._need()
-        met = self.probes(queries, nprobe).join(self.postings, "list_id")
-        return best(met.select("query_id", "id", distance(self.metric, F.col("vec"), F.col("q")).alias("distance")), max(k, 0))
+        queries = queries.select("query_id", F.col("vec").cast("array<double>").alias("vec"))
+        asked = sent(queries, "query_id", ["vec"]) if k > 0 else None
+        if asked is None:
+            met = self.probes(queries, nprobe).join(self.postings, "list_id")
+            return best(met.select("query_id", "id", distance(self.metric, F.col("vec"), F.col("q")).alias("distance")), max(k, 0))
+        n, score = max(1, min(nprobe, self.nlist)), metric_scores(self.metric)
+        by_query = np.argsort(score({"vec": asked.value[1]["vec"]}, {"vec": self.centroids}), axis=1, kind="stable")[:, :n] if len(asked.value[0]) else np.zeros((0, n), int)
+        probing = [np.flatnonzero((by_query == j).any(axis=1)) for j in range(self.nlist)]
+
+        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            q_ids, q = asked.value
+            found = Best(q_ids, k)
+            for part in parts:
+                of, ids = part["list_id"].to_numpy(zero_copy_only=False), part["k"].to_numpy(zero_copy_only=False)
+                x = matrix(part["vec"], "f4") if part.num_rows else None
+                for j in np.unique(of):
+                    rows, at = np.flatnonzero(of == j), probing[j]
+                    for b in range(0, len(at), QUERIES):
+                        found.see(at[b : b + QUERIES], ids[rows], score({"vec": q["vec"][at[b : b + QUERIES]]}, {"vec": x[rows]}))
+            yield pa.RecordBatch.from_pandas(found.rows(), preserve_index=False)
+
+        return best(self.postings.select("list_id", F.col("id").alias("k"), "vec").mapInArrow(run, HITS), k)
 
     def search(self, query, k: int, nprobe: int = 1) -> DataFrame:
         one = self.spark.createDataFrame([(0, [float(x) for x in query])], "query_id bigint, vec array<double>")

@@ -13,11 +13,12 @@ def per_query(truth: DataFrame, found: DataFrame, k: int) -> DataFrame:
     """(query_id, recall, reciprocal_rank, ndcg, average_precision) of every query in truth; both have (query_id, rank, id), ranks from 1.
 
     Relevant are the first k of truth (all of it for the reciprocal rank, which has no cut-off). Recall is divided by k also if
-    there are fewer; gains are 0 or 1; a query without hits has 0; k < 1 gives 0.
+    there are fewer; gains are 0 or 1; a query without hits has 0; k < 1 gives 0, but for the reciprocal rank.
     """
     every = truth.select("query_id").distinct()
     if k < 1:
-        return every.select("query_id", *(F.lit(0.0).alias(c) for c in ("recall", "reciprocal_rank", "ndcg", "average_precision")))
+        one = per_query(truth, found, 1).select("query_id", "reciprocal_rank")
+        return one.select("query_id", F.lit(0.0).alias("recall"), "reciprocal_rank", F.lit(0.0).alias("ndcg"), F.lit(0.0).alias("average_precision"))
     hits = found.join(truth.select("query_id", "id", F.col("rank").alias("true_rank")).distinct(), ["query_id", "id"])
     first = hits.groupBy("query_id").agg((1 / F.min("rank")).alias("reciprocal_rank"))
     near = hits.where((F.col("rank") <= k) & (F.col("true_rank") <= k))
@@ -38,18 +39,29 @@ def per_query(truth: DataFrame, found: DataFrame, k: int) -> DataFrame:
     )
 
 
-def means(truth: DataFrame, found: DataFrame, k: int) -> DataFrame:
-    """One row (mean_recall, mrr, mean_ndcg, map): means over all queries of truth; 0 without any or if the numbers of queries differ."""
-    counts = truth.agg(F.countDistinct("query_id").alias("t")).crossJoin(found.agg(F.countDistinct("query_id").alias("f")))  # one row each
-    q = per_query(truth, found, k).agg(*(F.avg(c).alias(n) for c, n in (("recall", "mean_recall"), ("reciprocal_rank", "mrr"), ("ndcg", "mean_ndcg"), ("average_precision", "map"))))
-    ok = (F.col("t") == F.col("f")) & (F.col("t") > 0)
-    return counts.crossJoin(q).select(*(F.when(ok, F.coalesce(c, F.lit(0.0))).otherwise(0.0).alias(c) for c in ("mean_recall", "mrr", "mean_ndcg", "map")))
+def means(truth: DataFrame, found: DataFrame, k: int, asked: int | None = None) -> DataFrame:
+    """One row (mean_recall, mrr, mean_ndcg, map): means over all queries of truth; a query that found nothing counts as 0 in each.
+
+    asked: how many lists of hits there are, empty ones too; if truth has another number of queries, or none, all four are 0.
+    """
+    q = per_query(truth, found, k)
+    names = (("recall", "mean_recall"), ("reciprocal_rank", "mrr"), ("ndcg", "mean_ndcg"), ("average_precision", "map"))
+    ok = F.lit(True) if asked is None else F.count("*") == asked
+    return q.agg(*(F.when(ok, F.coalesce(F.avg(c), F.lit(0.0))).otherwise(0.0).alias(n) for c, n in names))
+
+
+def reciprocal_rank_of(found: DataFrame, id: int) -> DataFrame:
+    """(query_id, reciprocal_rank): one over the rank of the row `id` in each query's hits, 0 where it isn't among them."""
+    rank = F.min(F.when(F.col("id") == id, F.col("rank")))
+    return found.groupBy("query_id").agg(F.coalesce(1 / rank, F.lit(0.0)).alias("reciprocal_rank"))
 
 
-def pair_cosines(rows: DataFrame, shift: int, pairs: int = 10_000) -> DataFrame:
-    """(id, other, cosine) of pairs of rows with ids id and (id + shift) mod n, for the first `pairs` ids (a sampling operator). Ids are 0 .. n - 1."""
+def pair_cosines(rows: DataFrame, shift: int, pairs: int = 10_000, seed: int = 42) -> DataFrame:
+    """(id, other, cosine) of pairs of rows with ids id and (id + shift) mod n, for `pairs` ids at most (a sampling operator), the first
+    in the order of (id * 2654435761 + seed) mod 2 ** 32, then id, over all rows. Ids are 0 .. n - 1."""
     n = rows.agg(F.max("id") + 1).first()[0] or 1
-    left = rows.where(F.col("id") < pairs).select("id", "vec", F.pmod(F.col("id") + shift, F.lit(n)).alias("other"))
+    order = F.pmod(F.col("id") * F.lit(2654435761) + F.lit(seed), F.lit(1 << 32))
+    left = rows.orderBy(order, "id").limit(pairs).select("id", "vec", F.pmod(F.col("id") + shift, F.lit(n)).alias("other"))
     right = rows.select(F.col("id").alias("other"), F.col("vec").alias("w"))
     return left.join(right, "other").select("id", "other", (1 - V.cosine_distance(F.col("vec"), F.col("w"))).alias("cosine"))
 

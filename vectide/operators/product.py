@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vectide.functions import vectors as V
 from vectide.operators import kmeans
 from vectide.operators.blocks import scan
 
@@ -23,19 +24,56 @@ class ProductQuantizer:
         self.books: np.ndarray | None = None
 
     def train(self, rows: DataFrame, rounds: int = 15, seed: int = 1337) -> ProductQuantizer:
-        """Lloyd's rounds in each part; with fewer rows than codewords, the rest of a book are zeros. No rows: nothing happens."""
-        books = np.zeros((self.m, self.k, self.sub))
-        for j in range(self.m):
-            part = rows.select("id", F.slice(F.col("vec").cast("array<double>"), j * self.sub + 1, self.sub).alias("vec"))
-            start = kmeans.first_rows(part, self.k, seed)
-            if not len(start):
-                return self
-            for _ in range(rounds):
-                start = kmeans.step(part, start)
-            books[j, : len(start)] = start
-        self.books = books
+        """Lloyd's rounds in all parts at once, one pass over the rows for each round; with fewer rows than codewords, the rest of a
+        book are zeros. No rows: nothing happens. Starts are distinct rows, and the i-th codeword without a row takes the row that
+        fits i-th worst."""
+        rows = rows.select("id", F.col("vec").cast("array<double>").alias("vec"))
+        start = kmeans.first_rows(rows, self.k, seed)
+        if not len(start):
+            return self
+        books = np.ascontiguousarray(start.reshape(len(start), self.m, self.sub).transpose(1, 0, 2))
+        for _ in range(rounds):
+            books = self._round(rows, books)
+        self.books = np.zeros((self.m, self.k, self.sub))
+        self.books[:, : books.shape[1]] = books
         return self
 
+    def _round(self, rows: DataFrame, books: np.ndarray) -> np.ndarray:
+        """New codewords: means of their rows' parts, summed where the rows lie."""
+        tables, (m, k, sub) = _tables(self.spark, books), books.shape
+
+        def sums(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total, n = np.zeros((m, k, sub)), np.zeros((m, k), dtype=np.int64)
+            for pdf in parts:
+                for at in range(0, len(pdf), 256):
+                    x = np.stack(pdf["vec"].iloc[at : at + 256].to_list())
+                    own = tables(x).argmin(axis=2)
+                    for j in range(m):
+                        np.add.at(total[j], own[:, j], x[:, j * sub : (j + 1) * sub])
+                        n[j] += np.bincount(own[:, j], minlength=k)
+            j, c = np.nonzero(n)
+            yield pd.DataFrame({"m": j.astype(np.int32), "c": c.astype(np.int32), "n": n[j, c], "s": list(total[j, c])})
+
+        part = rows.select("vec").mapInPandas(sums, "m int, c int, n long, s array<double>")
+        each = [F.sum(F.get("s", F.lit(d))).alias(f"s{d}") for d in range(sub)]
+        new, seen = books.copy(), np.zeros((m, k), dtype=bool)
+        for r in part.groupBy("m", "c").agg(F.sum("n").alias("n"), *each).collect():  # one row for each codeword
+            new[r.m, r.c] = np.array([r[f"s{d}"] for d in range(sub)]) / r.n
+            seen[r.m, r.c] = True
+        for j in np.flatnonzero(~seen.all(axis=1)):
+            own = rows.select("id", F.slice("vec", int(j) * sub + 1, sub).alias("vec"))
+            empty = np.flatnonzero(~seen[j])
+            far = kmeans.assign(own, books[j]).orderBy(F.desc("cdist"), "id").limit(len(empty)).select("vec").collect()
+            for c, r in zip(empty, far):
+                new[j, c] = r.vec
+        return new
+
+    def distance(self, queries: DataFrame, codes: DataFrame) -> DataFrame:
+        """(query_id, id, distance): squared L2 of each query's vector to what the code of the same row stands for, without tables;
+        queries has query_id, id and vec."""
+        both = queries.join(self.decode(codes).withColumnRenamed("vec", "d"), "id")
+        return both.select("query_id", "id", V.l2_squared(F.col("vec"), F.col("d")).alias("distance"))
+
     def _need(self) -> np.ndarray:
         if self.books is None:
             raise RuntimeError("the quantizer is not trained")

@@ -77,6 +77,10 @@ class ScalarQuantizer:
         code = F.col("code").cast("array<int>")
         return codes.select("id", self.value(V.unpack_nibbles(code, self.dim) if self.levels == 15 else code).alias("vec"))
 
+    def rows_of(self, codes: DataFrame, first: int, last: int) -> DataFrame:
+        """(id, vec): decoded rows with ids first .. last - 1; the bounds reach the scan of the codes."""
+        return self.decode(codes.where(F.col("id").between(first, last - 1)))
+
     def distance(self, q: Column, code: Column) -> Column:
         """Squared L2 between a vector and what a code stands for."""
         code = code.cast("array<int>")
@@ -97,7 +101,7 @@ def coarse_scan(codes: DataFrame, queries: DataFrame, sq: ScalarQuantizer, k: in
         b = x["code"].astype(np.int64)
         c = np.empty((len(b), 2 * b.shape[1]))
         c[:, 0::2], c[:, 1::2] = b & 15, b >> 4
-        v, a = lo + c[:, :dim] * step, q["vec"]
+        v, a = lo + c[:, :dim] * step, q["vec"].astype(np.float64)
         return np.maximum((a * a).sum(axis=1)[:, None] - 2 * a @ v.T + (v * v).sum(axis=1), 0)
 
     return scan(codes, queries, ["code"], ["vec"], score, k)

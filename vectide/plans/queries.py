@@ -18,7 +18,7 @@ from vectide.operators.fastscan import FastScan
 from vectide.operators.flat import FlatIndex, batch_linear_scan, linear_scan, linear_scan_vectors
 from vectide.operators.ivf import IvfFlatIndex
 from vectide.operators.kdforest import KdForest, SearchParams, TreeParams
-from vectide.operators.measures import geometry, means, pair_cosines, per_query
+from vectide.operators.measures import geometry, means, pair_cosines, per_query, reciprocal_rank_of
 from vectide.operators.product import ProductQuantizer
 from vectide.operators.scalar import ScalarQuantizer, coarse_scan, mean_squared_error, range_of, two_stage
 from vectide.sources import vecs
@@ -144,16 +144,20 @@ for _m in ("l2", "ip", "cosine"):
     query(sql_knn(_m))(_knn(_m))
 
 
-@query()
+@query(f"WITH {VS} SELECT v.id, round({sql_distance('cosine', 'v.v', 'q.v')}, 6) AS exact, true AS close FROM v, v q WHERE q.id = {ONE}")
 def dist_cosine_fast(spark: SparkSession, sf: str) -> DataFrame:
+    """The exact distance, and whether the approximate one is within 0.005 of it."""
     rows = scaled(spark, sf)
     q = F.array(*(F.lit(x) for x in one(rows)))
-    return rows.select("id", F.round(V.cosine_distance_fast(F.col("vec"), q), 6).alias("distance"))
+    exact = V.cosine_distance(F.col("vec"), q)
+    return rows.select("id", F.round(exact, 6).alias("exact"), (F.abs(V.cosine_distance_fast(F.col("vec"), q) - exact) < 0.005).alias("close"))
 
 
-@query()
+@query(f"WITH {VS} SELECT id, round(1 / sqrt(list_inner_product(v, v)), 6) AS exact, true AS close FROM v")
 def fast_rsqrt(spark: SparkSession, sf: str) -> DataFrame:
-    return scaled(spark, sf).select("id", F.round(V.fast_rsqrt(V.norm_squared(F.col("vec"))), 6).alias("value"))
+    """The exact value, and whether the approximate one is within two thousandths of it."""
+    n = V.norm_squared(F.col("vec"))
+    return scaled(spark, sf).select("id", F.round(1 / F.sqrt(n), 6).alias("exact"), (F.abs(V.fast_rsqrt(n) * F.sqrt(n) - 1) < 0.002).alias("close"))
 
 
 @query(f"WITH {VS} SELECT id, CAST(unnest(range(len(v))) AS INTEGER) AS pos, round(unnest(list_transform(v, lambda x: x / sqrt(list_inner_product(v, v)))), 6) AS value FROM v")
@@ -543,7 +547,7 @@ query(sql_round_trip("CAST(floor(x * 1000000) AS INTEGER)"))(_round_trip("ivecs"
 
 @query(
     "WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, max(vec_id) OVER () + 1 AS n FROM embeddings) SELECT a.id, b.id AS other, "
-    "round(list_inner_product(a.v, b.v) / sqrt(list_inner_product(a.v, a.v) * list_inner_product(b.v, b.v)), 6) AS cosine FROM v a JOIN v b ON b.id = (a.id + 7) % a.n WHERE a.id < 10000"
+    "round(list_inner_product(a.v, b.v) / sqrt(list_inner_product(a.v, a.v) * list_inner_product(b.v, b.v)), 6) AS cosine FROM (SELECT * FROM v QUALIFY row_number() OVER (ORDER BY (id * 2654435761 + 42) % 4294967296, id) <= 10000) a JOIN v b ON b.id = (a.id + 7) % a.n"
 )
 def pair_cosine(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(pair_cosines(unit_rows(spark, sf), 7), "cosine")
@@ -554,7 +558,40 @@ def anisotropy(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(geometry(unit_rows(spark, sf)), "mean_cosine", "std_cosine", "top_share")
 
 
-@query()
+@query(f"SELECT round(avg(cosine), 6) AS mean_cosine, round(stddev_pop(cosine), 6) AS std_cosine FROM ({ORACLE['pair_cosine'].replace('round(list', '(list').replace(', 6) AS cosine', ') AS cosine')})")
+def cosine_moments(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(pair_cosines(unit_rows(spark, sf), 7).agg(F.avg("cosine").alias("mean_cosine"), F.stddev_pop("cosine").alias("std_cosine")), "mean_cosine", "std_cosine")
+
+
+# a search with misses: found has no rows for queries divisible by 40
+@query(
+    MEASURED.replace("SELECT f.query_id, f.rank", "SELECT f.query_id, f.rank").replace("AND t.id = f.id", "").replace("AND f.id = t.id)", "AND f.id = t.id WHERE f.query_id % 40 <> 0)")
+    + " SELECT round(avg(recall), 6) AS mean_recall, round(avg(reciprocal_rank), 6) AS mrr, round(avg(ndcg), 6) AS mean_ndcg, round(avg(average_precision), 6) AS map FROM m"
+)
+def ir_means_with_misses(spark: SparkSession, sf: str) -> DataFrame:
+    truth, found = _measured(spark, sf)
+    return rounded(means(truth, found.where(F.col("query_id") % 40 != 0), K, truth.select("query_id").distinct().count()), "mean_recall", "mrr", "mean_ndcg", "map")
+
+
+@query(f"WITH {VS}, {SIGNS}, found AS ({BQ_TOP}) SELECT query_id, coalesce(1.0::DOUBLE / min(CASE WHEN id = {ONE} THEN rank END), 0.0::DOUBLE) AS reciprocal_rank FROM found GROUP BY query_id")
+def rr_of_one(spark: SparkSession, sf: str) -> DataFrame:
+    return reciprocal_rank_of(_measured(spark, sf)[1], ONE)
+
+
+@query(f"WITH {VS}, {sql_pq(M, 8)}, g AS (SELECT id, round(sum(d), 6) AS distance FROM (SELECT id, m, min(d) AS d FROM t GROUP BY id, m) GROUP BY id) SELECT id AS query_id, id, distance FROM g WHERE id % 20 = 0")
+def pq_direct(spark: SparkSession, sf: str) -> DataFrame:
+    pq, rows = _pq(spark, sf, M)
+    return rounded(pq.distance(asked(rows).withColumn("id", F.col("query_id")), pq.encode(rows)), "distance")
+
+
+@query(f"WITH {RANGE}, {sql_code(255)} SELECT id, CAST(unnest(range(len(code))) AS INTEGER) AS pos, round(unnest(list_transform(code, lambda x: lo + x * step)), 6) AS value FROM c WHERE id BETWEEN 100 AND 131")
+def sq8_rows(spark: SparkSession, sf: str) -> DataFrame:
+    rows = unit_rows(spark, sf)
+    sq = _sq(rows, 255)
+    return listed(sq.rows_of(sq.encode(rows), 100, 132), "vec", "value")
+
+
+@query("SELECT kind, 8 AS dim, 100 AS count FROM (VALUES ('fvecs'), ('bvecs'), ('ivecs'), ('cone')) t(kind)")
 def generators(spark: SparkSession, sf: str) -> DataFrame:
     made = [vecs.random_vectors(spark, 100, 8, k).select(F.lit(k).alias("kind"), F.size("vec").alias("dim")) for k in vecs.KINDS]
     made.append(vecs.cone(spark, 100, 8, 3.0).select(F.lit("cone").alias("kind"), F.size("vec").alias("dim")))
