@@ -7,20 +7,19 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vectide.llm.common import BLANKS, drop, let, maybe_in, save
+from vectide.llm.common import BLANKS, drop, join_hot, let, maybe_in, save, unused
 
 #: Buckets of the token frequency table. Its size is fixed; tokens of one bucket are told apart by their hash.
-BUCKETS = 1 << 14
-#: A token that starts more lines than this is compared with a few of them before the rest.
-HOT = 16
+BUCKETS = 1 << 16
+#: A token in the short prefixes of more classes is compared with a few of them before the rest.
+HOT = 64
 #: How many more lines of such a token, spread by hash, are compared with all others before the rest.
 ANCHORS = 6
 
 #: Passes in which lines meet, each with a share of the tokens.
-PARTS = 4
-#: Longs in the bitmap of a longer line.
-MAPS = 4
-BITS = [f"b{k}" for k in range(MAPS)]
+PARTS = 2
+#: Tokens of a set from which on it has a second map.
+WIDE = 64
 
 
 def _plain(line: Column) -> Column:
@@ -29,9 +28,9 @@ def _plain(line: Column) -> Column:
     return F.when(other, F.translate(line, BLANKS, " " * len(BLANKS))).otherwise(line)
 
 
-def tokens(line: Column) -> Column:
-    """Distinct tokens of a line; none if it has no word."""
-    return F.array_remove(F.array_distinct(F.split(_plain(line), " ")), "")
+def hashed(line: Column) -> Column:
+    """The hashes of the distinct tokens of a line; none if it has no word."""
+    return F.array_remove(F.array_distinct(F.transform(F.split(_plain(line), " "), lambda t: F.xxhash64(t))), F.xxhash64(F.lit("")))
 
 
 def exploded(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -41,8 +40,8 @@ def exploded(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def frequency_classes(docs: DataFrame, text: str) -> Column:
     """Array literal: for each hash bucket of tokens, a class that grows with the bucket's count over all rows."""
-    lines = docs.select(F.explode(F.split(F.col(text), "\n")).alias("line"))
-    counted = lines.select(F.explode(F.split(_plain(F.col("line")), " ")).alias("t")).select(F.xxhash64("t").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b"))
+    blank = F.translate(F.col(text), BLANKS + "\n", " " * (len(BLANKS) + 1))
+    counted = docs.select(F.explode(F.split(blank, " ")).alias("t")).select(F.xxhash64("t").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b"))
     classes = [0] * BUCKETS
     for b, c in counted.groupBy("b").count().select("b", (F.log2("count") * 2).cast("int")).collect():
         classes[b] = c
@@ -52,11 +51,13 @@ def frequency_classes(docs: DataFrame, text: str) -> Column:
 def ranked(line: Column, classes: Column) -> Column:
     """The line's token set as sorted longs: frequency class first, then hash, so that rare tokens come first everywhere alike."""
 
-    def code(h: Column) -> Column:
+    def code(t: Column) -> Column:
+        h = F.xxhash64(t)
         kind = F.get(classes, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long")
         return F.shiftleft(kind, 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
 
-    return F.sort_array(F.transform(F.transform(tokens(line), lambda t: F.xxhash64(t)), code))
+    every = F.array_distinct(F.transform(F.split(_plain(line), " "), code))
+    return F.sort_array(F.array_remove(every, code(F.lit(""))))
 
 
 def _has_word(line: Column) -> Column:
@@ -73,23 +74,19 @@ def _short_prefix(n: Column, similarity: int) -> Column:
     return n - F.ceil(n * F.lit(2.0 * similarity / (100 + similarity)) - 1e-9).cast("int") + 1
 
 
-def _may_match(x: str, y: str, similarity: int, x_shorter: bool) -> Column:
-    """Length, prefix, positional and bitmap filters on two postings (n: set size, i: place of the shared token from 1).
+def _may_match(similarity: int) -> Column:
+    """Length, prefix, positional and bitmap filters on two postings (n: set size, i: place of the shared token from 1): x, the
+    smaller set or of equal ones the first, with its short prefix, and y with its whole prefix, so that two sets meet once for a token.
 
-    A bit stands for the hashes of tokens; every bit that differs stands for a token that only one set has. Sets of at most 64
-    tokens use one long, others MAPS of them, which give the short map when folded. x_shorter: x is the shorter set, or as long as
-    y and before it, and comes with its short prefix only, so that each pair of sets meets once for a token.
+    A map's bit is the parity of the tokens whose hash names it, so every bit that differs stands for a token that only one
+    set has. `all` is the map of all tokens; sets of more than WIDE have a second one for half of them, and the rest follows from both.
     """
-    n, m, i, j = F.col(f"{x}.n"), F.col(f"{y}.n"), F.col(f"{x}.i"), F.col(f"{y}.i")
-    length = F.least(n, m) * 100 >= F.greatest(n, m) * similarity
-    if x_shorter:
-        length = length & ((n < m) | ((n == m) & _before(x, y)))
+    n, m, i, j = F.col("x.n"), F.col("y.n"), F.col("x.i"), F.col("y.i")
+    length = (n * 100 >= m * similarity) & ((n < m) | ((n == m) & (F.col("x.id") < F.col("y.id"))))
     place = (1 + F.least(n - i, m - j)) * (100 + similarity) >= (n + m) * similarity
-    bits = lambda z: [F.col(f"{z}.b{k}") for k in range(MAPS)]
-    folded = lambda z: functools.reduce(lambda u, v: u.bitwiseOR(v), bits(z))
-    apart = lambda u, v: F.bit_count(u.bitwiseXOR(v))
-    wide = sum((apart(u, v) for u, v in zip(bits(x)[1:], bits(y)[1:])), apart(bits(x)[0], bits(y)[0]))
-    differ = F.when((n > 64) & (m > 64), wide).when((n <= 64) & (m <= 64), apart(bits(x)[0], bits(y)[0])).otherwise(apart(folded(x), folded(y)))
+    every = F.col("x.all").bitwiseXOR(F.col("y.all"))
+    half = F.col("x.half").bitwiseXOR(F.col("y.half"))
+    differ = F.when((n > WIDE) & (m > WIDE), F.bit_count(half) + F.bit_count(every.bitwiseXOR(half))).otherwise(F.bit_count(every))
     few = (n + m - differ) * (100 + similarity) >= (n + m) * (2 * similarity)
     return length & few & place
 
@@ -98,111 +95,116 @@ def later_matches(docs: DataFrame, similarity: int = 80, key: str = "doc_id", te
     """(doc, pos) of every line whose token set has a Jaccard similarity of at least `similarity` per cent with an earlier line's.
 
     Lines come in the order (doc, pos), pos from 0. Lines without a word match nothing. A line is compared with all earlier ones,
-    removed or not. Rows with one key are one document: a repeated row's lines count once. The result is exact.
-
-    Lines with equal sets form one class, represented by its first line; all others of it are later matches. Only the first
-    tokens of each class (rarest first, over the whole corpus) are exchanged. Where a token starts more than HOT classes,
-    these are first compared with the first of them and a few others; what has a match by then is not verified again.
-    Then all classes meet by token, in PARTS passes so that the exchanged files stay small: the longer set's prefix against the
-    shorter set's shorter one. Candidates are verified on their full sets.
+    removed or not. Rows with one key are one document: a repeated row's lines count once. Null texts and keys and an empty table
+    give no rows. The result is exact.
+
+    Lines with equal sets form one class, represented by its first line; all others of it are later matches. Classes are numbered
+    in the order of their first lines. Only the first tokens of each class (rarest first, over the whole corpus) are exchanged, with
+    the class's number, its size and two maps of its tokens. Where a token starts more than HOT classes, these are first compared
+    with the first of them and a few others; what has a match by then need not be verified again. Then all classes meet by token,
+    in PARTS passes so that the exchanged files stay small: the larger set's prefix against the smaller set's shorter one. Candidates
+    are verified on their full sets.
     """
     docs = docs.select(F.col(key), F.col(text))
     classes = frequency_classes(docs, text)
-    one_bit = lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int")))
     zero = F.lit(0).cast("long")
-
-    def bitmap(s: Column, k: int) -> Column:
-        """The k-th long: of all tokens for a short set, else of those whose hash names it."""
-        part = F.filter(s, lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(MAPS - 1)) == k)
-        long = F.aggregate(part, zero, one_bit)
-        return F.when(F.size(s) > 64, long).otherwise(F.aggregate(s, zero, one_bit) if k == 0 else zero)
+    bit = lambda x, one: F.call_function("shiftleft", one, x.bitwiseAND(F.lit(63)).cast("int"))
 
     def facts(s: Column) -> Column:
         n = F.size(s)
+        every = F.aggregate(s, zero, lambda a, x: a.bitwiseXOR(bit(x, F.lit(1).cast("long"))))
+        half = F.aggregate(s, zero, lambda a, x: a.bitwiseXOR(bit(x, F.shiftright(x, 6).bitwiseAND(F.lit(1)))))
         return F.struct(
             F.xxhash64(s).alias("h1"),
             F.xxhash64(F.lit(1), F.reverse(s)).alias("h2"),
             n.alias("n"),
-            *(bitmap(s, k).alias(f"b{k}") for k in range(MAPS)),
+            every.alias("all"),
+            F.when(n > WIDE, half).otherwise(zero).alias("half"),
             F.slice(s, F.lit(1), _prefix(n, similarity)).alias("p"),
         )
 
     lines = exploded(docs, key, text).where(_has_word(F.col("line"))).select("doc", "pos", let(ranked(F.col("line"), classes), facts).alias("f"))
-    flat = save(lines.select("doc", "pos", "f.*"), "lines")
-    first = save(flat.groupBy("h1", "h2").agg(F.min(F.struct("doc", "pos", "n", *BITS, "p")).alias("m")).select("h1", "h2", "m.*"), "line-classes")
-    def postings(classes_: DataFrame, *more: str) -> DataFrame:
-        out = classes_.select("doc", "pos", "n", *BITS, *more, F.posexplode("p").alias("i", "t"))
-        return out.select("t", "doc", "pos", "n", (F.col("i") + 1).alias("i"), *BITS, *more)
-
-    post = F.struct("doc", "pos", "n", "i", *BITS)
-    spread = [F.min(F.struct(F.xxhash64(F.lit(k), "doc", "pos").alias("h"), post.alias("m"))).alias(f"a{k}") for k in range(ANCHORS)]
-    one = []
-    for part in range(PARTS):
-        some = postings(first).where(F.pmod("t", F.lit(PARTS)) == part)
-        hot = some.join(some.groupBy("t").agg(F.count("*").alias("c")).where(F.col("c") > HOT), "t")
+    wide = save(lines.select("doc", "pos", "f.*"), "lines")
+    first = wide.groupBy("h1", "h2").agg(F.min(F.struct("doc", "pos", "n", "all", "half", "p")).alias("m"), F.count("*").alias("c"))
+    first = save(first.select("h1", "h2", "c", "m.*").orderBy("doc", "pos").withColumn("id", F.monotonically_increasing_id()), "line-classes")
+    flat = save(wide.select("doc", "pos", "h1", "h2"), "lines")
+    drop(wide)
+
+    def postings(rows: DataFrame, *more: str) -> DataFrame:
+        out = rows.select("id", "n", "all", "half", *more, F.posexplode("p").alias("i", "t"))
+        return out.select("t", "id", "n", (F.col("i") + 1).alias("i"), "all", "half", *more)
+
+    # all classes of a hot token against a few of them; either may be the larger set
+    short = first.select(F.explode(F.slice("p", F.lit(1), _short_prefix(F.col("n"), similarity))).alias("t"))
+    hot_tokens = save(short.groupBy("t").agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("t"), "line-hot")
+    done = None
+    if hot_tokens.limit(1).count():
+        hot = save(postings(first).join(hot_tokens, "t"), "line-hot")
+        post = F.struct("id", "n", "i", "all", "half")
+        spread = [F.min(F.struct(F.xxhash64(F.lit(k), "id").alias("h"), post.alias("m"))).alias(f"a{k}") for k in range(ANCHORS)]
         anchor = hot.groupBy("t").agg(F.min(post).alias("m"), *spread)
-        anchor = anchor.select("t", F.explode(F.array_distinct(F.array("m", *(F.col(f"a{k}.m") for k in range(ANCHORS))))).alias("m")).select("t", "m.*")
-        met = hot.alias("y").join(anchor.alias("x"), (F.col("x.t") == F.col("y.t")) & _before("x", "y") & _may_match("x", "y", similarity, False))
-        one.append(save(_pairs(met).distinct(), "line-pairs"))
-    done = save(_verified(docs, one, classes, similarity, key, text), "line-matches")
-
-    flagged = save(first.join(done.withColumn("r", F.lit(True)), ["doc", "pos"], "left").fillna(False, ["r"]), "line-classes")
-    posts, two = postings(flagged, "r"), []
+        anchor = save(anchor.select("t", F.explode(F.array_distinct(F.array("m", *(F.col(f"a{k}.m") for k in range(ANCHORS))))).alias("m")).select("t", "m.*"), "line-anchors")
+        ends = F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")
+        in_short = F.col("x.i") <= _short_prefix(F.col("x.n"), similarity)
+        sides = [x.alias("x").join(y.alias("y"), (F.col("x.t") == F.col("y.t")) & in_short & _may_match(similarity)).select(*ends) for x, y in ((hot, anchor), (anchor, hot))]
+        met = save(sides[0].union(sides[1]).distinct(), "line-pairs")
+        done = save(_verified(docs, met, first, similarity, key, text), "line-matches")
+        drop(hot, anchor, met)
+    drop(hot_tokens)
+    settled = F.lit(False) if done is None else F.col("settled")
+    rest = first if done is None else first.join(done.withColumn("settled", F.lit(True)), "id", "left").fillna(False, ["settled"])
+    flagged = save(rest.select("id", "n", "all", "half", "p", settled.alias("r")), "line-flagged")
+    pairs = []
     for part in range(PARTS):
-        some = posts.where(F.pmod("t", F.lit(PARTS)) == part)
+        some = postings(flagged, "r").where(F.pmod("t", F.lit(PARTS)) == part)
         index = some.where(F.col("i") <= _short_prefix(F.col("n"), similarity))
-        met = some.alias("y").join(index.alias("x"), (F.col("x.t") == F.col("y.t")) & ((_before("x", "y") & ~F.col("y.r")) | (_before("y", "x") & ~F.col("x.r"))) & _may_match("x", "y", similarity, True))
-        later = F.when(_before("x", "y"), F.struct("y.doc", "y.pos")).otherwise(F.struct("x.doc", "x.pos"))
-        earlier = F.when(_before("x", "y"), F.struct("x.doc", "x.pos")).otherwise(F.struct("y.doc", "y.pos"))
-        met = met.select(earlier.alias("a"), later.alias("b")).select(F.col("a.doc").alias("da"), F.col("a.pos").alias("pa"), F.col("b.doc").alias("db"), F.col("b.pos").alias("pb"))
-        two.append(save(met.distinct(), "line-pairs"))
+        open_ = F.when(F.col("x.id") < F.col("y.id"), ~F.col("y.r")).otherwise(~F.col("x.r"))
+        met = some.alias("y").join(index.alias("x"), (F.col("x.t") == F.col("y.t")) & open_ & _may_match(similarity))
+        pairs.append(save(met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), "line-pairs"))
     drop(flagged)
-    rest = save(_verified(docs, two, classes, similarity, key, text), "line-matches")
-    gone = first.select("h1", "h2", "doc", "pos").join(done.union(rest).distinct(), ["doc", "pos"], "left_semi").select("h1", "h2", F.lit(True).alias("gone"))
-    stay = first.select("h1", "h2", F.col("doc").alias("d"), F.col("pos").alias("q")).join(gone, ["h1", "h2"], "left_anti")
-    out = flat.select("doc", "pos", "h1", "h2").join(stay, ["h1", "h2"], "left")
-    return save(out.where("d is null or d != doc or q != pos").select("doc", "pos").distinct(), "line-gone")
-
-
-def _before(x: str, y: str) -> Column:
-    return (F.col(f"{x}.doc") < F.col(f"{y}.doc")) | ((F.col(f"{x}.doc") == F.col(f"{y}.doc")) & (F.col(f"{x}.pos") < F.col(f"{y}.pos")))
-
-
-def _pairs(joined: DataFrame) -> DataFrame:
-    return joined.select(F.col("x.doc").alias("da"), F.col("x.pos").alias("pa"), F.col("y.doc").alias("db"), F.col("y.pos").alias("pb"))
-
-
-def _verified(docs: DataFrame, parts: list[DataFrame], classes: Column, similarity: int, key: str, text: str) -> DataFrame:
-    """(doc, pos) of the later line of each pair whose full sets are similar enough.
-
-    The sets are made anew from the texts, for lines that pass a fixed-size bit table of the wanted ones, then joined exactly.
-    """
-    pairs = functools.reduce(DataFrame.union, parts).distinct()
-    wanted = pairs.select(F.col("da").alias("doc"), F.col("pa").alias("pos")).union(pairs.select("db", "pb")).distinct()
-    sets = exploded(docs, key, text).where(maybe_in(wanted, "doc", "pos")).dropDuplicates(["doc", "pos"]).join(wanted, ["doc", "pos"], "left_semi")
-    sets = save(sets.select("doc", "pos", ranked(F.col("line"), classes).alias("s")), "line-sets")
-    a = sets.select(F.col("doc").alias("da"), F.col("pos").alias("pa"), F.col("s").alias("sa"))
-    b = sets.select(F.col("doc").alias("db"), F.col("pos").alias("pb"), F.col("s").alias("sb"))
+    late = save(_verified(docs, functools.reduce(DataFrame.union, pairs).distinct(), first, similarity, key, text), "line-matches")
+    gone = (late if done is None else done.union(late)).distinct().withColumn("gone", F.lit(True))
+    kept = first.select("id", "h1", "h2", "c", F.col("doc").alias("d"), F.col("pos").alias("q")).join(gone, "id", "left")
+    kept = save(kept.select("h1", "h2", "c", F.when(F.col("gone").isNull(), F.col("d")).alias("d"), F.when(F.col("gone").isNull(), F.col("q")).alias("q")), "line-kept")
+    out = join_hot(flat, kept, ["h1", "h2"], "c").where("d is null or d != doc or q != pos").select("doc", "pos")
+    out = save(out.distinct(), "line-gone")
+    drop(flat, first, kept, late, *pairs, *([] if done is None else [done]))
+    return out
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, first: DataFrame, similarity: int, key: str, text: str) -> DataFrame:
+    """(id) of the later class of each pair (a, b) whose full sets are similar enough; the sets are made anew from the texts."""
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    wanted = save(first.select("id", "doc", "pos").join(wanted, "id", "left_semi"), "line-wanted")
+    of_doc = wanted.groupBy(F.col("doc").alias("d")).agg(F.collect_list(F.struct("pos", "id")).alias("at"))
+    whole = docs.select(F.col(key).cast("long").alias("doc"), F.split(F.col(text), "\n").alias("lines")).where(maybe_in(wanted, "doc"))
+    lines = whole.join(of_doc, F.col("doc") == F.col("d")).select("lines", F.explode("at").alias("at"))
+    sets = save(lines.select("at.id", hashed(F.get("lines", F.col("at.pos"))).alias("s")).dropDuplicates(["id"]), "line-sets")
     both = F.size(F.array_intersect("sa", "sb"))
     similar = both * (100 + similarity) >= (F.size("sa") + F.size("sb")) * similarity
-    return pairs.join(a, ["da", "pa"]).join(b, ["db", "pb"]).where(similar).select(F.col("db").alias("doc"), F.col("pb").alias("pos")).distinct()
+    met = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    out = save(met.where(similar).select(F.col("b").alias("id")).distinct(), "line-similar")
+    drop(wanted, sets)
+    return out
 
 
 def deduplicate(docs: DataFrame, similarity: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with later matches taken out of `text`, and a struct column `lines` (n: lines, removed: lines removed).
 
-    Null and empty texts, and rows with a null key, stay as they are. Other columns pass unchanged.
+    Null and empty texts, and rows with a null key, stay as they are (n is 0 for a null one). Repeated rows of a key are cut alike;
+    an empty table gives no rows. Other columns pass unchanged, but for an input column named `lines`, which is replaced.
     """
-    gone = later_matches(docs, similarity, key, text).groupBy("doc").agg(F.collect_set("pos").alias("__gone")).withColumnRenamed("doc", "__doc")
-    joined = docs.join(gone, docs[key].cast("long") == F.col("__doc"), "left")
+    doc, places, done = unused(docs, "doc", "gone", "done")
+    gone = later_matches(docs, similarity, key, text).groupBy(F.col("doc").alias(doc)).agg(F.collect_set("pos").alias(places))
+    joined = docs.join(gone, docs[key].cast("long") == F.col(doc), "left")
     split = F.split(F.col(text), "\n")
-    found = F.when(F.col("__gone").isNull(), F.struct(F.col(text).alias("t"), F.size(split).alias("n"), F.lit(0).alias("r")))
+    found = F.when(F.col(places).isNull(), F.struct(F.col(text).alias("t"), F.size(split).alias("n"), F.lit(0).alias("r")))
     found = found.otherwise(
-        let(split, lambda x: F.struct(F.array_join(F.filter(x, lambda _, i: ~F.array_contains(F.col("__gone"), i)), "\n").alias("t"), F.size(x).alias("n"), F.size("__gone").alias("r")))
+        let(split, lambda x: F.struct(F.array_join(F.filter(x, lambda _, i: ~F.array_contains(F.col(places), i)), "\n").alias("t"), F.size(x).alias("n"), F.size(places).alias("r")))
     )
-    out = joined.withColumn("__f", found)
-    counts = F.struct(F.coalesce("__f.n", F.lit(0)).cast("long").alias("n"), F.col("__f.r").cast("long").alias("removed"))
-    return out.select(*(F.col("__f.t").alias(text) if c == text else F.col(c) for c in docs.columns), counts.alias("lines"))
+    out = joined.withColumn(done, found)
+    counts = F.struct(F.coalesce(f"{done}.n", F.lit(0)).cast("long").alias("n"), F.col(f"{done}.r").cast("long").alias("removed"))
+    return out.select(*(F.col(f"{done}.t").alias(text) if c == text else F.col(c) for c in docs.columns if c != "lines"), counts.alias("lines"))
 
 
 #: The same in SQL for DuckDB, over all pairs of different sets that share a token (for small tables).
