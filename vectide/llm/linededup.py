@@ -12,7 +12,7 @@ from vectide.llm.common import BLANKS, drop, join_hot, let, maybe_in, save, unus
 #: Buckets of the token frequency table. Its size is fixed; tokens of one bucket are told apart by their hash.
 BUCKETS = 1 << 16
 #: A token in the short prefixes of more classes is compared with a few of them before the rest.
-HOT = 64
+HOT = 256
 #: How many more lines of such a token, spread by hash, are compared with all others before the rest.
 ANCHORS = 6
 
@@ -40,8 +40,8 @@ def exploded(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def frequency_classes(docs: DataFrame, text: str) -> Column:
     """Array literal: for each hash bucket of tokens, a class that grows with the bucket's count over all rows."""
-    blank = F.translate(F.col(text), BLANKS + "\n", " " * (len(BLANKS) + 1))
-    counted = docs.select(F.explode(F.split(blank, " ")).alias("t")).select(F.xxhash64("t").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b"))
+    flat = _plain(F.replace(F.col(text), F.lit("\n"), F.lit(" ")))
+    counted = docs.select(F.explode(F.split(flat, " ")).alias("t")).select(F.xxhash64("t").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b"))
     classes = [0] * BUCKETS
     for b, c in counted.groupBy("b").count().select("b", (F.log2("count") * 2).cast("int")).collect():
         classes[b] = c
