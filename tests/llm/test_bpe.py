@@ -1,6 +1,8 @@
+import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from vectide.llm import bpe
@@ -80,3 +82,12 @@ def test_frames(spark):
     rows = bpe.digests(df, PATH).collect()
     assert [r.n_tokens for r in rows] == [0, 0, len(lib(TEXTS[4]))] + [len(lib(TEXTS[4]))]
     assert bpe.digests(df.limit(0), PATH).collect() == []
+
+
+def test_digests_against_the_library(spark):
+    texts = [*TEXTS, None, "", "a" * 5000, " " * 3000 + "end", "x <|endoftext|> y", "".join(chr(k) for k in range(0x20, 0x2000, 7)), ("wörter und words 123 " * 9000)[: 2 * bpe.PART + 77]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("n_tokens", F.lit("clash"))
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    for r in bpe.digests(df, PATH).collect():
+        ids = lib(texts[r.doc_id] or "")
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(",".join(map(str, ids))), sha(LIB.decode(ids, skip_special_tokens=False)))

@@ -415,6 +415,22 @@ def test_jump_moves_only_into_the_new_shard():
         before = after
 
 
+def plain_jump(key, n):
+    """Jump consistent hashing as published, for one key."""
+    key, b, j = key % (1 << 64), -1, 0
+    while j < n:
+        b = j
+        key = (key * 2862933555777941757 + 1) % (1 << 64)
+        j = int((b + 1) * (float(1 << 31) / float((key >> 33) + 1)))
+    return b
+
+
+def test_jump_against_the_plain_form():
+    keys = np.array([0, 1, -1, 7, 2**62, -(2**63), *np.random.default_rng(3).integers(-(2**63), 2**63 - 1, 500)])
+    for n in (1, 2, 8, 9, 1000):
+        assert sharding.jump(keys, n).tolist() == [plain_jump(int(k), n) for k in keys]
+
+
 def test_shards(spark):
     rows = [(i, "x" * (i % 7), None, None) for i in range(500)] + ODD + [(None, "null key", None, None)] * 3 + [(7, "again", None, None)] * 40
     df = docs(spark, rows).repartition(5).withColumn("shard", F.lit("clash"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import codecs
 import hashlib
 import heapq
@@ -153,16 +154,12 @@ class Encoder:
         self.raw, self.text, self.open, self.kind = "", "", None, ""
 
     def _piece(self, piece: str) -> tuple[int, ...]:
-        found = self.memory.get(piece)
-        if found is None:
-            data = piece.encode("utf-8", "surrogatepass")
-            if len(piece) > LONG:
-                way = PieceTransducer(self.merges)
-                out: list[int] = []
-                for k in range(0, len(data), LONG):
-                    out += way.feed(data[k : k + LONG])
-                return tuple(out + way.flush())
-            found = tuple(self.merges.encode_whole(data))
+        """A whole piece, through a transducer in parts; short ones are remembered."""
+        data = piece.encode("utf-8", "surrogatepass")
+        way = PieceTransducer(self.merges)
+        out = [t for k in range(0, len(data), LONG) for t in way.feed(data[k : k + LONG])]
+        found = tuple(out + way.flush())
+        if len(piece) <= LONG:
             if len(self.memory) >= MEMORY:
                 self.memory.clear()
             self.memory[piece] = found
@@ -176,19 +173,16 @@ class Encoder:
             self._go_on(out, last)
             if self.open is not None:
                 return out
-        text, piece, end = self.text, self._piece, 0
-        if last:
-            for m in self.split.findall(text):
-                out += piece(m)
-            self.text = ""
-            return out
-        stop = len(text) - TAIL
-        for m in self.split.finditer(text):
-            if m.end() > stop:
-                break
-            out += piece(m.group())
-            end = m.end()
-        self.text = text[end:]
+        pieces, end = self.split.findall(self.text), len(self.text)  # the pieces side by side are the text
+        if not last:
+            ends = list(itertools.accumulate(map(len, pieces)))
+            n = bisect.bisect_right(ends, len(self.text) - TAIL)
+            pieces, end = pieces[:n], ends[n - 1] if n else 0
+        found = list(map(self.memory.get, pieces))
+        if None in found:
+            found = [f or self._piece(m) for f, m in zip(found, pieces)]
+        out += itertools.chain.from_iterable(found)
+        self.text = self.text[end:]
         if len(self.text) > LONG + 2 * TAIL:  # a piece longer than this is open: hand on all but its last characters
             self.open = PieceTransducer(self.merges)
             c = self.text[1]
@@ -231,12 +225,6 @@ class Encoder:
 
     def encode(self, text: str) -> list[int]:
         """All tokens of a text, read in parts."""
-        if len(text) <= PART and not any(mark in text for mark in self.merges.special):
-            pieces = self.split.findall(text)
-            found = list(map(self.memory.get, pieces))
-            if None in found:
-                found = [f or self._piece(m) for f, m in zip(found, pieces)]
-            return list(itertools.chain.from_iterable(found))
         return [t for k in range(0, len(text), PART) for t in self.feed(text[k : k + PART])] + self.flush()
 
 
