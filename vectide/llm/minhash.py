@@ -293,17 +293,17 @@ def between_groups(pairs: DataFrame, chosen: DataFrame, reps: DataFrame, full_se
     solo = both.select(F.explode(F.array("lo", "hi")).alias("centre")).distinct().join(grouped, "centre", "left_anti")
     grouped = grouped.union(solo.select("centre", F.col("centre").alias("id"), F.lit(0.0)))
     left = both.join(grouped.select(F.col("centre").alias("lo"), F.col("id").alias("a"), "d"), "lo").where(F.col("dc") <= most + F.col("d") + F.col("r") + 1e-9)
-    left = save(left.select("hi", "a", (F.col("dc") - F.col("d") - most).alias("need")), "minhash-left")
+    left = save(left.select("hi", "a", "size", (F.col("dc") - F.col("d") - most).alias("need")), "minhash-left")
     right = grouped.join(both.select(F.col("hi").alias("centre"), "size").distinct(), "centre")
     right = save(right.withColumn("k", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / BLOCK)).cast("int")), "minhash-right")
     sets = full_sets(left.select(F.col("a").alias("id")).union(right.select("id")))
     sets = sets.join(reps.select("id", "sig"), "id")
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        one = {"hi": [pdf["centre"][0]], "ids": [list(pdf["id"])], "ds": [list(pdf["d"])], "ends": [list(np.cumsum([len(s) // 8 for s in pdf["s"]]))]}
+        one = {"hi": [pdf["centre"][0]], "k": [pdf["k"][0]], "ids": [list(pdf["id"])], "ds": [list(pdf["d"])], "ends": [list(np.cumsum([len(s) // 8 for s in pdf["s"]]))]}
         return pd.DataFrame(one | {"sigs": [np.stack(pdf["sig"]).tobytes()], "all": [b"".join(pdf["s"])]})
 
-    blocks = right.join(sets, "id").groupBy("centre", "k").applyInPandas(pack, "hi long, ids array<long>, ds array<double>, ends array<int>, sigs binary, all binary")
+    blocks = right.join(sets, "id").groupBy("centre", "k").applyInPandas(pack, "hi long, k int, ids array<long>, ds array<double>, ends array<int>, sigs binary, all binary")
     c = 2.0**-BITS
     equal = c + (1 - c) * p.similarity / 100
     enough = p.minima * equal - p.slack * np.sqrt(p.minima * equal * (1 - equal))
@@ -332,7 +332,9 @@ def between_groups(pairs: DataFrame, chosen: DataFrame, reps: DataFrame, full_se
                 out.append(hit)
             yield pd.Series(out, dtype="Int64")
 
-    held = left.join(sets.select(F.col("id").alias("a"), "sig", "s"), "a").join(blocks, "hi")
+    # dealt by group and block, so that a large group's blocks lie in many tasks
+    dealt = left.withColumn("k", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / BLOCK).cast("int") - 1)))
+    held = dealt.join(sets.select(F.col("id").alias("a"), "sig", "s"), "a").join(blocks, ["hi", "k"])
     found = held.select("a", one_link("need", "sig", "s", "ids", "ds", "ends", "sigs", "all").alias("b"))
     found = save(found.where("b is not null"), "minhash-late")
     drop(left, right)
