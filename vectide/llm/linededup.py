@@ -51,13 +51,12 @@ def frequency_classes(docs: DataFrame, text: str) -> Column:
 def ranked(line: Column, classes: Column) -> Column:
     """The line's token set as sorted longs: frequency class first, then hash, so that rare tokens come first everywhere alike."""
 
-    def code(t: Column) -> Column:
-        h = F.xxhash64(t)
-        kind = F.get(classes, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long")
+    def code(h: Column) -> Column:
+        # never null, so that the longs are sorted as primitives
+        kind = F.coalesce(F.get(classes, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0)).cast("long")
         return F.shiftleft(kind, 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
 
-    every = F.array_distinct(F.transform(F.split(_plain(line), " "), code))
-    return F.sort_array(F.array_remove(every, code(F.lit(""))))
+    return F.sort_array(F.transform(hashed(line), code))
 
 
 def _has_word(line: Column) -> Column:
@@ -110,21 +109,14 @@ def later_matches(docs: DataFrame, similarity: int = 80, key: str = "doc_id", te
     zero = F.lit(0).cast("long")
     bit = lambda x, one: F.call_function("shiftleft", one, x.bitwiseAND(F.lit(63)).cast("int"))
 
-    def facts(s: Column) -> Column:
-        n = F.size(s)
-        every = F.aggregate(s, zero, lambda a, x: a.bitwiseXOR(bit(x, F.lit(1).cast("long"))))
-        half = F.aggregate(s, zero, lambda a, x: a.bitwiseXOR(bit(x, F.shiftright(x, 6).bitwiseAND(F.lit(1)))))
-        return F.struct(
-            F.xxhash64(s).alias("h1"),
-            F.xxhash64(F.lit(1), F.reverse(s)).alias("h2"),
-            n.alias("n"),
-            every.alias("all"),
-            F.when(n > WIDE, half).otherwise(zero).alias("half"),
-            F.slice(s, F.lit(1), _prefix(n, similarity)).alias("p"),
-        )
-
-    lines = exploded(docs, key, text).where(_has_word(F.col("line"))).select("doc", "pos", let(ranked(F.col("line"), classes), facts).alias("f"))
-    wide = save(lines.select("doc", "pos", "f.*"), "lines")
+    lines = exploded(docs, key, text).where(_has_word(F.col("line"))).select("doc", "pos", ranked(F.col("line"), classes).alias("s"))
+    # a step of its own, not a bound lambda: what is within a lambda is not compiled
+    s, n = F.col("s"), F.size("s")
+    every = F.aggregate(s, zero, lambda a, x: a.bitwiseXOR(bit(x, F.lit(1).cast("long"))))
+    half = F.aggregate(s, zero, lambda a, x: a.bitwiseXOR(bit(x, F.shiftright(x, 6).bitwiseAND(F.lit(1)))))
+    h1, h2 = F.xxhash64(s).alias("h1"), F.xxhash64(F.lit(1), F.reverse(s)).alias("h2")
+    maps = every.alias("all"), F.when(n > WIDE, half).otherwise(zero).alias("half")
+    wide = save(lines.select("doc", "pos", h1, h2, n.alias("n"), *maps, F.slice(s, F.lit(1), _prefix(n, similarity)).alias("p")), "lines")
     first = wide.groupBy("h1", "h2").agg(F.min(F.struct("doc", "pos", "n", "all", "half", "p")).alias("m"), F.count("*").alias("c"))
     first = save(first.select("h1", "h2", "c", "m.*").orderBy("doc", "pos").withColumn("id", F.monotonically_increasing_id()), "line-classes")
     flat = save(wide.select("doc", "pos", "h1", "h2"), "lines")
