@@ -22,25 +22,30 @@ PARTS = 2
 WIDE = 64
 
 
-def _plain(line: Column) -> Column:
-    """The line with every white space as a blank; only lines that have another kind are rewritten."""
-    other = functools.reduce(lambda a, c: a | line.contains(c), BLANKS[1:], line.contains(BLANKS[0]))
-    return F.when(other, F.translate(line, BLANKS, " " * len(BLANKS))).otherwise(line)
+def _plain(text: Column, blanks: str = BLANKS) -> Column:
+    """The text with every one of these white spaces as a blank; only texts that have one are rewritten."""
+    other = functools.reduce(lambda a, c: a | text.contains(c), blanks[1:], text.contains(blanks[0]))
+    return F.when(other, F.translate(text, blanks, " " * len(blanks))).otherwise(text)
+
+
+#: White spaces that do not end a line.
+WITHIN = BLANKS.replace("\n", "")
 
 
 def hashed(line: Column) -> Column:
-    """The hashes of the distinct tokens of a line; none if it has no word."""
-    return F.array_remove(F.array_distinct(F.transform(F.split(_plain(line), " "), lambda t: F.xxhash64(t))), F.xxhash64(F.lit("")))
+    """The hashes of the distinct tokens of a line whose words stand between blanks; none if it has no word."""
+    return F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda t: F.xxhash64(t))), F.xxhash64(F.lit("")))
 
 
 def exploded(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc, pos, line) for each line of each text; null texts and null keys have none."""
-    return docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.posexplode(F.split(F.col(text), "\n")).alias("pos", "line"))
+    """(doc, pos, line) for each line of each text, with blanks for its white space; null texts and null keys have none."""
+    lines = F.split(_plain(F.col(text), WITHIN), "\n")
+    return docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.posexplode(lines).alias("pos", "line"))
 
 
 def frequency_classes(docs: DataFrame, text: str) -> Column:
     """Array literal: for each hash bucket of tokens, a class that grows with the bucket's count over all rows."""
-    flat = _plain(F.replace(F.col(text), F.lit("\n"), F.lit(" ")))
+    flat = F.replace(_plain(F.col(text), WITHIN), F.lit("\n"), F.lit(" "))
     counted = docs.select(F.explode(F.split(flat, " ")).alias("t")).select(F.xxhash64("t").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b"))
     classes = [0] * BUCKETS
     for b, c in counted.groupBy("b").count().select("b", (F.log2("count") * 2).cast("int")).collect():
@@ -59,10 +64,6 @@ def ranked(line: Column, classes: Column) -> Column:
     return F.sort_array(F.transform(hashed(line), code))
 
 
-def _has_word(line: Column) -> Column:
-    return F.trim(_plain(line)) != ""
-
-
 def _prefix(n: Column, similarity: int) -> Column:
     """How many of its first tokens a set of n must share one of with any set at least as similar, whatever its size."""
     return n - F.ceil(n * F.lit(similarity) / F.lit(100.0) - 1e-9).cast("int") + 1
@@ -109,7 +110,7 @@ def later_matches(docs: DataFrame, similarity: int = 80, key: str = "doc_id", te
     zero = F.lit(0).cast("long")
     bit = lambda x, one: F.call_function("shiftleft", one, x.bitwiseAND(F.lit(63)).cast("int"))
 
-    lines = exploded(docs, key, text).where(_has_word(F.col("line"))).select("doc", "pos", ranked(F.col("line"), classes).alias("s"))
+    lines = exploded(docs, key, text).where(F.trim("line") != "").select("doc", "pos", ranked(F.col("line"), classes).alias("s"))
     # a step of its own, not a bound lambda: what is within a lambda is not compiled
     s, n = F.col("s"), F.size("s")
     every = F.aggregate(s, zero, lambda a, x: a.bitwiseXOR(bit(x, F.lit(1).cast("long"))))
@@ -171,7 +172,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, first: DataFrame, similarity: i
     of_doc = wanted.groupBy(F.col("doc").alias("d")).agg(F.collect_list(F.struct("pos", "id")).alias("at"))
     whole = docs.select(F.col(key).cast("long").alias("doc"), F.split(F.col(text), "\n").alias("lines")).where(maybe_in(wanted, "doc"))
     lines = whole.join(of_doc, F.col("doc") == F.col("d")).select("lines", F.explode("at").alias("at"))
-    sets = save(lines.select("at.id", hashed(F.get("lines", F.col("at.pos"))).alias("s")).dropDuplicates(["id"]), "line-sets")
+    sets = save(lines.select("at.id", hashed(_plain(F.get("lines", F.col("at.pos")))).alias("s")).dropDuplicates(["id"]), "line-sets")
     both = F.size(F.array_intersect("sa", "sb"))
     similar = both * (100 + similarity) >= (F.size("sa") + F.size("sb")) * similarity
     met = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
