@@ -1,5 +1,7 @@
 """Small cases of each operator: plain versions, nulls, empty and odd rows, clashing columns, empty tables."""
 
+import collections
+import math
 import random
 import re
 import zlib
@@ -324,6 +326,57 @@ def test_windows_cover_whole_texts():
         assert all(b - a < toxicity.WINDOW for a, b in zip(starts, starts[1:]))
 
 
+def test_net_against_one_window_at_a_time():
+    """The forward pass in plain Python: one window, one word and one number at a time."""
+    net = toxicity.Net.fresh(3)
+    p, size = net.p, toxicity.STATE
+    rng = np.random.default_rng(4)
+    p["word"][:] = rng.standard_normal(p["word"].shape) * 0.5
+    windows = [["ab", "cde", "ab", "żółw"], ["x"], ["one"] * toxicity.WINDOW, []]
+    uniq, index, mask = toxicity._indexed(windows)
+    got = net.run(net.vectors(*toxicity.inputs_of(uniq)), index, mask)
+
+    def sigmoid(x):
+        return 1 / (1 + math.exp(-x))
+
+    for w, logit in zip(windows, got):
+        vectors = [net.vectors(*toxicity.inputs_of([word]))[0].tolist() for word in w]
+        sides = []
+        for k, order in (("f", range(len(w))), ("b", reversed(range(len(w))))):
+            h, states = [0.0] * size, {}
+            for t in order:
+                g = [sum(v * p[f"w{k}"][i, j] for i, v in enumerate(vectors[t])) + p[f"c{k}"][j] for j in range(3 * size)]
+                u = p[f"u{k}"]
+                z = [sigmoid(g[j] + sum(h[i] * u[i, j] for i in range(size))) for j in range(size)]
+                r = [sigmoid(g[size + j] + sum(h[i] * u[i, size + j] for i in range(size))) for j in range(size)]
+                c = [math.tanh(g[2 * size + j] + sum(r[i] * h[i] * u[i, 2 * size + j] for i in range(size))) for j in range(size)]
+                h = states[t] = [(1 - z[j]) * h[j] + z[j] * c[j] for j in range(size)]
+            sides.append(states)
+        states = [sides[0][t] + sides[1][t] for t in range(len(w))]
+        e = [math.exp(sum(p["va"][a] * math.tanh(sum(s[i] * p["wa"][i, a] for i in range(2 * size))) for a in range(toxicity.ATTEND))) for s in states]
+        pooled = [sum(x * s[j] for x, s in zip(e, states)) / sum(e) if w else 0.0 for j in range(2 * size)]
+        want = sum(x * o for x, o in zip(pooled, p["o"])) + p["b"][0]
+        assert abs(want - logit) < 1e-4
+
+
+def test_training_sees_all_windows():
+    words = [[f"w{k}x{i}" for i in range(n)] for k, n in enumerate((0, 5, 64, 65, 700))]
+    texts = [toxicity.windows_of(w) for w in words]
+    for w, parts in zip(words, texts):
+        assert all(len(x) <= toxicity.WINDOW for x in parts) and set(w) == {x for part in parts for x in part}
+    met, real = [], toxicity._indexed
+    toxicity._indexed = lambda windows: met.extend(map(tuple, windows)) or real(windows)
+    try:
+        toxicity.Net.fresh().train(texts, np.array([0, 1, 0, 1, 0], np.float32))
+    finally:
+        toxicity._indexed = real
+    times = collections.Counter(met)
+    assert set(times) == {tuple(w) for t in texts for w in t}
+    rounds = -(-toxicity.STEPS // toxicity.TURNS)
+    # a text with as many windows as there are turns, or more, shows each once a round
+    assert {times[tuple(w)] for w in texts[-1]} == {rounds}
+
+
 # vectors
 
 

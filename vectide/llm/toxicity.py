@@ -19,9 +19,11 @@ WORD_BITS, GRAM_BITS = 13, 13
 GRAMS = (3, 4, 5)
 #: Sizes: word and character inputs, state of each direction, attention.
 D_WORD, D_CHAR, STATE, ATTEND = 8, 12, 8, 8
-#: Labelled rows trained on at most, of each class (those with the smallest hashed ids), and windows taken of a clean and of a toxic one.
-MAX_TOXIC, MAX_CLEAN, TAKE = 1500, 2000, (3, 12)
-EPOCHS, BATCH, RATE = 4, 128, 0.01
+#: Labelled rows trained on at most, of each class (those with the smallest hashed ids).
+MAX_TOXIC, MAX_CLEAN = 1500, 2000
+#: Passes in which all windows of a text come up once: each takes every TURNS-th of them, or one of a text that has fewer.
+TURNS = 4
+BATCH, RATE = 128, 0.01
 #: Least number of steps (few labels are gone over more often), and the share of words whose own embedding is left out of a step.
 STEPS, DROP = 300, 0.5
 #: How fast the tables of words and grams shrink, for each unit of the rate.
@@ -39,6 +41,10 @@ def starts_of(n: int) -> range:
     return range(0, max(n - WINDOW + STEP, 1), STEP)
 
 
+def windows_of(words: list[str]) -> list[list[str]]:
+    return [words[s : s + WINDOW] for s in starts_of(len(words))]
+
+
 def inputs_of(words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word bucket, gram buckets of all words in a row, how many each word has) of distinct words."""
     own = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) & ((1 << WORD_BITS) - 1) for w in words), np.int64, len(words))
@@ -170,22 +176,30 @@ class Net:
         np.add.at(g["gram"], places, np.repeat(d_x[:, D_WORD:] / np.maximum(counts, 1)[:, None], counts, axis=0))
         return g
 
-    def train(self, windows: list[list[str]], label: np.ndarray, seed: int = 6) -> Net:
-        """Adam over shuffled batches; classes weigh by the root of their odds."""
+    def train(self, texts: list[list[list[str]]], label: np.ndarray, seed: int = 6) -> Net:
+        """Adam over shuffled batches of the texts' windows; TURNS passes see every window, and passes come in whole rounds of them.
+
+        Classes weigh by the root of their odds among texts; a text's windows in a pass weigh less, the more there are."""
         rng = np.random.default_rng(seed)
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
         share = max(label.mean(), 1e-3)
-        weight = np.where(label > 0, np.sqrt((1 - share) / share), 1.0).astype(np.float32)
-        step = 0
-        epochs = max(EPOCHS, -(-STEPS // -(-len(windows) // BATCH)))
+        odds = np.where(label > 0, np.sqrt((1 - share) / share), 1.0)
+        turns = []
+        for turn in range(TURNS):
+            taken = [t[turn::TURNS] or [t[turn % len(t)]] for t in texts]
+            sizes = np.fromiter(map(len, taken), np.int64, len(taken))
+            turns.append(([w for part in taken for w in part], np.repeat(label, sizes), np.repeat(odds / np.sqrt(sizes), sizes).astype(np.float32)))
+        per_round = sum(-(-len(t[0]) // BATCH) for t in turns)
+        step, epochs = 0, TURNS * -(-STEPS // per_round)
         for epoch in range(epochs):
+            windows, known, weight = turns[epoch % TURNS]
             order = rng.permutation(len(windows))
             for at in range(0, len(order), BATCH):
                 part = order[at : at + BATCH]
                 uniq, index, mask = _indexed([windows[i] for i in part])
                 heard = ((rng.random((len(uniq), 1)) >= DROP) / (1 - DROP)).astype(np.float32)
-                g = self.gradient(*inputs_of(uniq), index, mask, label[part], weight[part], heard)
+                g = self.gradient(*inputs_of(uniq), index, mask, known[part], weight[part], heard)
                 step += 1
                 rate = RATE * (1 - epoch / epochs) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
                 for k, v in self.p.items():
@@ -214,9 +228,8 @@ class Net:
                 owner.clear()
 
         for k, t in enumerate(texts):
-            w = words_of(t)
-            for s in starts_of(len(w)):
-                held.append(w[s : s + WINDOW])
+            for w in windows_of(words_of(t)):
+                held.append(w)
                 owner.append(k)
                 total += WINDOW
                 if total >= CHUNK:
@@ -257,9 +270,9 @@ def held_out(key: str = "doc_id") -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Net:
-    """A net trained on at most MAX_TOXIC and MAX_CLEAN labelled rows that are not held out, on TAKE windows spread over each.
+    """A net trained on all windows of at most MAX_TOXIC and MAX_CLEAN labelled rows that are not held out.
 
-    Without labels the net is untrained and scores every text alike below 0.5. Only windows of the sample reach the driver.
+    Without labels the net is untrained and scores every text alike below 0.5. Only the sample's words reach the driver.
     """
     named = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg((F.max(label) > 0).cast("int").alias("y"))
     named = named.where(~held_out(key))
@@ -267,22 +280,16 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     few = named.where("y = 1").orderBy(order, key).limit(MAX_TOXIC).union(named.where("y = 0").orderBy(order, key).limit(MAX_CLEAN)).withColumnRenamed(key, "__key")
     sample = docs.select(F.col(key), F.col(text).alias("t")).dropna(subset=["t"]).join(few, F.col(key) == F.col("__key")).select("y", "t")
 
-    def take(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def words(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            rows = []
-            for y, t in zip(pdf["y"], pdf["t"]):
-                w = words_of(t)
-                s = starts_of(len(w))
-                for at in sorted({s[int(k)] for k in np.linspace(0, len(s) - 1, min(TAKE[y], len(s)))}):
-                    rows.append((y, " ".join(w[at : at + WINDOW])))
-            yield pd.DataFrame(rows, columns=["y", "w"])
-
-    rows = sorted(map(tuple, sample.mapInPandas(take, "y int, w string").collect()))
+            yield pd.DataFrame({"y": pdf["y"], "w": [" ".join(words_of(t)) for t in pdf["t"]]})
+
+    rows = sorted(map(tuple, sample.mapInPandas(words, "y int, w string").collect()))
     net = Net.fresh()
     if not rows:
         net.top = np.array([0.0, 0.0, -3.0])
         return net
-    net.train([w.split() for _, w in rows], np.array([y for y, _ in rows], np.float32))
+    net.train([windows_of(w.split()) for _, w in rows], np.array([y for y, _ in rows], np.float32))
     sent = docs.sparkSession.sparkContext.broadcast(net)
 
     def measure(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
