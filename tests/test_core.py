@@ -138,7 +138,7 @@ def test_kmeans_reseeds_and_stays_on_the_sphere(spark):
     assert moved[1].tolist() == [9, 9] and moved[2].tolist() == [1, 1]
 
 
-def test_kd_forest(spark):
+def test_kd_forest(spark, tmp_path):
     x = np.array([[(7 * i + 13 * d) * 0.01 for d in range(16)] for i in range(1000)])
     rows, pick = rows_of(spark, x), [0, 100, 500, 999]
     forest = KdForest(rows, TreeParams(4, 16))
@@ -154,6 +154,13 @@ def test_kd_forest(spark):
     assert len(exact & set(ranked(KdForest(rows, TreeParams(4, 8)).batch_search(asked, 10, SearchParams(500)))[0])) >= 9
     parts = KdForest(rows, TreeParams(2, 8, shard_rows=100))
     assert set(ranked(parts.batch_search(asked, 10, SearchParams(500)))[0]) == exact
+    for forest in (parts, KdForest(rows, TreeParams(3, 8))):
+        forest.save(str(tmp_path / "forest"))
+        kept = KdForest.load(spark, str(tmp_path / "forest"))
+        for checks in (40, 500):
+            assert kept.batch_search(asked, 10, SearchParams(checks)).collect() == forest.batch_search(asked, 10, SearchParams(checks)).collect()
+        assert (kept.size(), kept.dim(), kept.num_trees) == (500, 8, forest.num_trees)
+        assert sorted(kept.leaf_sizes().collect()) == sorted(forest.leaf_sizes().collect())
     with pytest.raises(ValueError):
         TreeParams(leaf_max_size=0)
 
@@ -247,7 +254,13 @@ def test_fastscan(spark):
     tables = fs.byte_tables(spark.createDataFrame([(0, lut), (1, [2.0] * 128)], "query_id bigint, lut array<double>"))
     byte = {r.query_id: r.lut for r in tables.collect()}
     assert min(byte[0]) == 0 and max(byte[0]) == 255 and set(byte[1]) == {0}
-    hits = {(h.query_id, h.id): h.distance for h in fs.search(codes, tables, 67).collect()}
+    stored = fs.store(codes)
+    assert {r.id: list(r.code) for r in fs.codes_of(stored).collect()} == dict(enumerate(code))
+    wide = {r.block: (r.lanes, bytes(r.packed)) for r in stored.collect()}
+    assert all(list(wide[b][1][m * 16 : m * 16 + 16]) == v for (b, m), v in packed.items())
+    assert [wide[b][0] for b in range(3)] == [2**32 - 1, 2**32 - 1, 7]
+    hits = {(h.query_id, h.id): h.distance for h in fs.search(stored, tables, 67).collect()}
+    assert len(hits) == 2 * 67 and not fs.search(stored, tables, 0).count()
     assert all(hits[(0, i)] == sum(byte[0][m * 16 + v] for m, v in enumerate(c)) for i, c in enumerate(code))
     table = F.array(*(F.lit(10 * i) for i in range(16)))
     got = value(spark, V.lookup_nibbles(table, F.array(*(F.lit((i % 16) | (((15 - i) % 16) << 4)) for i in range(32)))))
@@ -294,6 +307,9 @@ def test_files(spark, tmp_path):
         vecs.write_vecs(rows, path)
         got = [list(r.vec) for r in vecs.read_vecs(spark, path).orderBy("id").collect()]
         assert np.allclose(np.array(got, np.float32), np.array(data, np.float32), atol=0)
+        assert all(vecs.read_row(spark, path, i).tolist() == got[i] for i in range(len(data)))
+        with pytest.raises(IndexError):
+            vecs.read_row(spark, path, len(data))
     with pytest.raises(FileNotFoundError):
         vecs.read_vecs(spark, str(tmp_path / "no.fvecs"))
     short = tmp_path / "short.fvecs"

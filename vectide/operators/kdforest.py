@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+import io
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectide.functions.vectors import Metric, parse_metric
@@ -84,8 +84,30 @@ def visit(forest, q: np.ndarray, max_checks: int) -> np.ndarray:
     return np.fromiter(seen, np.int64, len(seen))
 
 
+def _packed(x: np.ndarray, ids: np.ndarray, forest) -> bytes:
+    """A shard's vectors, ids and trees as bytes."""
+    arrays = {"x": x, "ids": ids}
+    for t, (nodes, values, leaves) in enumerate(forest):
+        arrays |= {f"nodes{t}": nodes, f"values{t}": values, f"rows{t}": np.concatenate(leaves), f"ends{t}": np.cumsum([len(v) for v in leaves])}
+    out = io.BytesIO()
+    np.savez(out, **arrays)
+    return out.getvalue()
+
+
+def _unpacked(data: bytes):
+    got = np.load(io.BytesIO(data))
+    trees = range(sum(name.startswith("nodes") for name in got.files))
+    forest = [(got[f"nodes{t}"], got[f"values{t}"], np.split(got[f"rows{t}"], got[f"ends{t}"][:-1])) for t in trees]
+    return got["x"], got["ids"], forest
+
+
 class KdForest:
-    """Trees of each shard are grown and searched where the shard lies; the shards' best rows are merged."""
+    """Trees of each shard are grown and searched where the shard lies; the shards' best rows are merged.
+
+    save() grows them once and writes them; what load() gives searches the written trees."""
+
+    #: (shard, data) of a written forest
+    kept: DataFrame | None = None
 
     def __init__(self, rows: DataFrame, params: TreeParams = TreeParams()):
         self.params = params
@@ -94,16 +116,38 @@ class KdForest:
         self.rows = rows.select(F.col("id").cast("bigint"), F.col("vec").cast("array<double>").alias("vec"), F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"))
         self.shards = shards
 
+    def save(self, path: str) -> None:
+        """Writes (shard, n, dim, data), a row for each shard with its vectors, ids and trees."""
+        p, shards = self.params, self.shards
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("id")
+            x, rng = np.stack(pdf["vec"].to_list()), np.random.default_rng(p.seed)
+            data = _packed(x, pdf["id"].to_numpy(), [grow(x, p, rng) for _ in range(p.num_trees)])
+            return pd.DataFrame({"shard": pdf["shard"].iloc[:1], "n": [len(x)], "dim": [x.shape[1]], "trees": [p.num_trees], "shards": [shards], "data": [data]})
+
+        self.rows.groupBy("shard").applyInPandas(run, "shard long, n long, dim int, trees int, shards long, data binary").write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> KdForest:
+        out = cls.__new__(cls)
+        out.kept = out.rows = spark.read.parquet(path)
+        one = out.kept.select("trees", "shards").first()
+        out.params, out.shards = (TreeParams(), 1) if one is None else (TreeParams(num_trees=one.trees), one.shards)
+        return out
+
     @property
     def num_trees(self) -> int:
         return self.params.num_trees
 
     def size(self) -> int:
+        if self.kept is not None:
+            return self.kept.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         return self.rows.count()
 
     def dim(self) -> int:
         """Components of the vectors; 0 without any."""
-        one = self.rows.select(F.size("vec")).first()
+        one = self.rows.select(F.size("vec") if self.kept is None else "dim").first()
         return 0 if one is None else one[0]
 
     def search(self, query, k: int, how: SearchParams = SearchParams()) -> DataFrame:
@@ -115,14 +159,17 @@ class KdForest:
 
     def leaf_sizes(self) -> DataFrame:
         """(shard, tree, size, leaves): how many leaves of each size the trees have."""
-        p = self.params
+        p, kept = self.params, self.kept is not None
 
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            x = np.stack(pdf.sort_values("id")["vec"].to_list())
-            rng = np.random.default_rng(p.seed)
+            if kept:
+                forest = _unpacked(pdf["data"].iloc[0])[2]
+            else:
+                x, rng = np.stack(pdf.sort_values("id")["vec"].to_list()), np.random.default_rng(p.seed)
+                forest = [grow(x, p, rng) for _ in range(p.num_trees)]
             out = []
             for tree in range(p.num_trees):
-                size, count = np.unique([len(v) for v in grow(x, p, rng)[2]], return_counts=True)
+                size, count = np.unique([len(v) for v in forest[tree][2]], return_counts=True)
                 out += [(int(pdf["shard"].iloc[0]), tree, int(s), int(c)) for s, c in zip(size, count)]
             return pd.DataFrame(out, columns=["shard", "tree", "size", "leaves"])
 
@@ -135,21 +182,27 @@ class KdForest:
         asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(self.shards - 1).cast("long"))))
         score = metric_scores(metric)
 
-        def run(key, rows: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
+        def answers(x: np.ndarray, ids: np.ndarray, forest, blocks: pd.DataFrame) -> pd.DataFrame:
+            out = [pd.DataFrame({"query_id": [], "id": [], "distance": []})]
+            for b in blocks.itertuples(index=False):
+                asked_ids = np.asarray(b.ids)
+                for i, q in zip(asked_ids, np.frombuffer(b.q, np.float64).reshape(len(asked_ids), -1)):
+                    met = visit(forest, q, how.max_checks)
+                    d = score({"vec": q[None]}, {"vec": x[met]})[0]
+                    top = np.lexsort((ids[met], d))[:k]
+                    out.append(pd.DataFrame({"query_id": i, "id": ids[met][top], "distance": d[top]}))
+            return pd.concat(out[1:] or out)
+
+        def grown(key, rows: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
             rows = rows.sort_values("id", ignore_index=True)
-            out = []
-            if len(rows) and len(blocks):
-                x, ids = np.stack(rows["vec"].to_list()), rows["id"].to_numpy()
-                rng = np.random.default_rng(p.seed)
-                forest = [grow(x, p, rng) for _ in range(p.num_trees)]
-                for b in blocks.itertuples(index=False):
-                    asked_ids = np.asarray(b.ids)
-                    for i, q in zip(asked_ids, np.frombuffer(b.q, np.float64).reshape(len(asked_ids), -1)):
-                        met = visit(forest, q, how.max_checks)
-                        d = score({"vec": q[None]}, {"vec": x[met]})[0]
-                        top = np.lexsort((ids[met], d))[:k]
-                        out.append(pd.DataFrame({"query_id": i, "id": ids[met][top], "distance": d[top]}))
-            return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "distance": []})
-
-        hits = self.rows.groupBy("shard").cogroup(asked.groupBy("shard")).applyInPandas(run, "query_id long, id long, distance double")
+            if not len(rows) or not len(blocks):
+                return answers(None, None, None, blocks[:0])
+            x, rng = np.stack(rows["vec"].to_list()), np.random.default_rng(p.seed)
+            return answers(x, rows["id"].to_numpy(), [grow(x, p, rng) for _ in range(p.num_trees)], blocks)
+
+        def read(key, rows: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
+            return answers(*_unpacked(rows["data"].iloc[0]), blocks) if len(rows) and len(blocks) else answers(None, None, None, blocks[:0])
+
+        rows, run = (self.rows, grown) if self.kept is None else (self.kept.select("shard", "data"), read)
+        hits = rows.groupBy("shard").cogroup(asked.groupBy("shard")).applyInPandas(run, "query_id long, id long, distance double")
         return best(hits, max(k, 0))

@@ -483,7 +483,7 @@ def fastscan_lut(spark: SparkSession, sf: str) -> DataFrame:
 @query(FS + f", {FS_LUT} " + sql_top("SELECT u.id AS query_id, e.id, CAST(sum(u.d) % 65536 AS DOUBLE) AS distance FROM u JOIN e ON u.m = e.m AND u.c = e.c WHERE u.id % 20 = 0 GROUP BY u.id, e.id"))
 def fastscan_topk(spark: SparkSession, sf: str) -> DataFrame:
     fs, pq, rows = _fs(spark, sf)
-    return fs.search(pq.encode(rows), fs.byte_tables(pq.query_tables(asked(rows))), K)
+    return fs.search(fs.store(pq.encode(rows)), fs.byte_tables(pq.query_tables(asked(rows))), K)
 
 
 @query(

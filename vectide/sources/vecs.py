@@ -20,16 +20,10 @@ def _at(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def read_vecs(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
-    """(id, vec) with ids from 0 in file order; read by splits of whole records, by any file system Spark knows.
-
-    A missing or empty file, a length below 1, a size that is no multiple of a record, and a record of another length are errors.
-    """
-    kind = kind or path.rsplit(".", 1)[-1]
-    dtype, column = KINDS[kind]
-    at, fs = _at(spark, path)
+def _head(fs, at, kind: str) -> tuple[bytes, int, int]:
+    """(first four bytes, size of a record, number of records); what is no file of whole records is an error."""
     if not fs.exists(at):
-        raise FileNotFoundError(path)
+        raise FileNotFoundError(str(at))
     size = fs.getFileStatus(at).getLen()
     if size < 4:
         raise ValueError("no record in the file")
@@ -37,9 +31,39 @@ def read_vecs(spark: SparkSession, path: str, kind: str | None = None) -> DataFr
     head = bytes(stream.read() for _ in range(4))
     stream.close()
     dim = struct.unpack("<i", head)[0]
-    record = 4 + dim * np.dtype(dtype).itemsize
+    record = 4 + dim * np.dtype(KINDS[kind][0]).itemsize
     if dim < 1 or size % record:
         raise ValueError(f"{size} bytes are no whole number of records of length {dim}")
+    return head, record, size // record
+
+
+def read_row(spark: SparkSession, path: str, row: int, kind: str | None = None) -> np.ndarray:
+    """One vector by its place from 0: the file is opened at the record, and nothing else of it is read."""
+    kind = kind or path.rsplit(".", 1)[-1]
+    at, fs = _at(spark, path)
+    head, record, n = _head(fs, at, kind)
+    if not 0 <= row < n:
+        raise IndexError(f"row {row} of {n}")
+    stream = fs.open(at)
+    try:
+        stream.seek(row * record)
+        data = bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, record))
+    finally:
+        stream.close()
+    if data[:4] != head:
+        raise ValueError("a record has another length")
+    return np.frombuffer(data, KINDS[kind][0], offset=4)
+
+
+def read_vecs(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
+    """(id, vec) with ids from 0 in file order; read by splits of whole records, by any file system Spark knows.
+
+    A missing or empty file, a length below 1, a size that is no multiple of a record, and a record of another length are errors.
+    """
+    kind = kind or path.rsplit(".", 1)[-1]
+    dtype, column = KINDS[kind]
+    at, fs = _at(spark, path)
+    head, record, _ = _head(fs, at, kind)
     raw = spark.sparkContext.binaryRecords(path, record).zipWithIndex().map(lambda p: (p[1], bytes(p[0])))
     flat = spark.createDataFrame(raw, StructType([StructField("id", LongType()), StructField("r", BinaryType())]))
 
