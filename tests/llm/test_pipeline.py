@@ -55,3 +55,8 @@ def test_stages_take_effect(spark, tmp_path):
     whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id: r.ids_sha256 for r in whole} == {i: r.ids_sha256 for i, r in steps["encode"].items()}
     assert mixing.Mix().epochs == 1
+
+
+def test_language_classifies_each_text_once(spark):
+    plan = corpus_pipeline.language(spark, corpus(spark), "")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1

@@ -14,6 +14,8 @@ BITS = 14
 ORDERS = (1, 2, 3)
 #: Characters worked on at once; longer texts are read in slices of so many, whose n-grams do not cross.
 SLICE = 1 << 19
+#: Texts are taken together up to about so many characters, so that a worker's arrays stay small.
+TOGETHER = 1 << 16
 #: Rows the classifier is fitted on at most (those with the smallest hashed ids).
 MAX_TRAIN_ROWS = 8192
 #: The score weighs a text as if it had so many n-grams at most, so that long texts are not all at 1.
@@ -48,7 +50,7 @@ def grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.nd
             pieces.append(t[at : at + SLICE])
             owners.append(k)
             held += len(pieces[-1])
-            if held >= SLICE:
+            if held >= TOGETHER:
                 yield from _hashed(pieces, owners)
                 pieces, owners, held = [], [], 0
     if pieces:
@@ -152,7 +154,10 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "do
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score (0 to 1). Nothing but the text is looked at; no shuffle; the model is broadcast (2 ** BITS numbers per language)."""
+    """docs with lang_pred and score (0 to 1). Nothing but the text is looked at; no shuffle; the model is broadcast (2 ** BITS numbers per language).
+
+    A condition on them stays behind the classifier: pushed below, it would classify every text a second time, in a second worker.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
@@ -161,7 +166,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             langs, score = sent.value.score(list(texts))
             yield pd.DataFrame({"lang_pred": langs, "score": score})
 
-    return docs.withColumn("__p", run(F.col(text))).withColumns({"lang_pred": F.col("__p.lang_pred"), "score": F.col("__p.score")}).drop("__p")
+    return docs.withColumn("__p", run.asNondeterministic()(F.col(text))).withColumns({"lang_pred": F.col("__p.lang_pred"), "score": F.col("__p.score")}).drop("__p")
 
 
 def identify(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id") -> DataFrame:
