@@ -2,7 +2,7 @@ import random
 import re
 
 from vectide.llm import minhash
-from vectide.llm.common import components
+from vectide.llm.common import components, save
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -93,3 +93,29 @@ def test_components_of_paths(spark):
     edges = [(k, k + 1) for k in range(60)] + [(100, 101), (5, 5), (None, 3), (102, 101), (101, 100)]
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: 0 for k in range(61)} | {100: 100, 101: 100, 102: 100}
+
+
+def test_wide_rows_go_to_python_in_batches_bounded_by_bytes(spark, monkeypatch):
+    import pandas as pd
+
+    def run(parts):
+        for pdf in parts:
+            yield pd.DataFrame({"n": [sum(map(len, pdf["s"]))]})
+
+    wide = spark.range(0, 300, 1, 1).selectExpr("cast(repeat('x', 100000) as binary) as s")
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, seen = spark.conf.get(limit), {}
+
+    def noted(df, name, *args, **more):
+        seen[name] = more.get("batch_bytes")
+        return save(df, name, *args, **more)
+
+    got = [r.n for r in save(wide.mapInPandas(run, "n long"), "wide", batch_bytes=minhash.BATCH).collect()]
+    assert sum(got) == 30_000_000 and max(got) <= minhash.BATCH + 200_000
+    assert spark.conf.get(limit) == before
+    monkeypatch.setattr(minhash, "save", noted)
+    rows = bridged(3, 0)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.report(df, minhash.Params(width=1)).collect()}
+    assert got == brute(rows, 1)
+    assert all(seen[k] == minhash.BATCH for k in ("minhash", "minhash-sets", "minhash-confirmed", "minhash-late"))

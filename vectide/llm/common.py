@@ -26,15 +26,16 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def save(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
+def save(df: DataFrame, name: str, partitions: int | None = None, batch_bytes: int | None = None) -> DataFrame:
     """Writes df as Parquet into the shared scratch folder and reads it back: a cut in the lineage that survives lost executors.
 
-    partitions: coalesces before the write.
+    partitions: coalesces before the write. batch_bytes: Python gets no further row in a batch that has so many bytes.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = {k: spark.conf.get(k) for k in WHILE_SAVING}
-    for k, v in WHILE_SAVING.items():
+    settings = WHILE_SAVING | ({"spark.sql.execution.arrow.maxBytesPerBatch": str(batch_bytes)} if batch_bytes else {})
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
         spark.conf.set(k, v)
     try:
         (df.coalesce(partitions) if partitions else df).write.parquet(path)

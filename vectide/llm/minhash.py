@@ -148,6 +148,9 @@ def _common(x: pd.Series, y: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="int64")
 
 
+#: Bytes after which a batch of rows with texts, sets or blocks is sent to Python: a block's rows hold the sets of all its members.
+BATCH = 4 << 20
+
 #: A bucket with more members than this is compared with a few spread members of it besides its smallest.
 LARGE = 8
 ANCHORS = 6
@@ -172,7 +175,7 @@ def link(docs: DataFrame, p: Params, key: str = "doc_id", text: str = "text") ->
     Texts without words: n_shingles 0, component_id their own id. A row with a null id keeps a null component unless an equal
     text has an id. Rows with one id are one document. An empty table gives no rows.
     """
-    sig = save(signatures(docs, p, key, text), "minhash")
+    sig = save(signatures(docs, p, key, text), "minhash", batch_bytes=BATCH)
     classes = sig.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2").agg(
         F.min(F.struct("doc_id", "n_shingles", "sig", "bands")).alias("m")
     )
@@ -204,7 +207,7 @@ def link(docs: DataFrame, p: Params, key: str = "doc_id", text: str = "text") ->
 
         ids = ids.distinct()
         texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).where(maybe_in(ids, "id")).join(ids, "id", "left_semi")
-        return save(texts.mapInPandas(run, "id long, s binary").dropDuplicates(["id"]), "minhash-sets")
+        return save(texts.mapInPandas(run, "id long, s binary").dropDuplicates(["id"]), "minhash-sets", batch_bytes=BATCH)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """pairs (a, b, na, nb) with the exact distance d and whether they are linked."""
@@ -213,7 +216,7 @@ def link(docs: DataFrame, p: Params, key: str = "doc_id", text: str = "text") ->
         y = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
         both = pairs.join(x, "a").join(y, "b").withColumn("c", _common("sa", "sb")).drop("sa", "sb")
         union = F.col("na") + F.col("nb") - F.col("c")
-        out = save(both.withColumns({"d": 1 - F.col("c") / union, "linked": F.col("c") * 100 >= union * p.similarity}), "minhash-confirmed")
+        out = save(both.withColumns({"d": 1 - F.col("c") / union, "linked": F.col("c") * 100 >= union * p.similarity}), "minhash-confirmed", batch_bytes=BATCH)
         drop(sets)
         return out
 
@@ -336,7 +339,7 @@ def between_groups(pairs: DataFrame, chosen: DataFrame, reps: DataFrame, full_se
     dealt = left.withColumn("k", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / BLOCK).cast("int") - 1)))
     held = dealt.join(sets.select(F.col("id").alias("a"), "sig", "s"), "a").join(blocks, ["hi", "k"])
     found = held.select("a", one_link("need", "sig", "s", "ids", "ds", "ends", "sigs", "all").alias("b"))
-    found = save(found.where("b is not null"), "minhash-late")
+    found = save(found.where("b is not null"), "minhash-late", batch_bytes=BATCH)
     drop(left, right)
     return found
 
