@@ -11,6 +11,9 @@ from vectide.llm.common import BLANKS, drop, join_hot, let, maybe_in, save, unus
 
 #: Buckets of the token frequency table. Its size is fixed; tokens of one bucket are told apart by their hash.
 BUCKETS = 1 << 16
+#: Tokens are counted in one of so many parts of each text, and in so many characters at least.
+SHARE = 8
+LEAST = 256
 #: A token in the short prefixes of more classes is compared with a few of them before the rest.
 HOT = 256
 #: How many more lines of such a token, spread by hash, are compared with all others before the rest.
@@ -43,10 +46,21 @@ def exploded(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.posexplode(lines).alias("pos", "line"))
 
 
+def _part(text: Column) -> Column:
+    """A SHARE-th of the text, of LEAST characters at least, from a place that its hash picks."""
+    n = F.length(text)
+    size = F.greatest(F.ceil(n / SHARE), F.lit(LEAST)).cast("int")
+    return F.when(n <= LEAST, text).otherwise(F.substr(text, F.pmod(F.xxhash64(text), n - size + 1).cast("int") + 1, size))
+
+
 def frequency_classes(docs: DataFrame, text: str) -> Column:
-    """Array literal: for each hash bucket of tokens, a class that grows with the bucket's count over all rows."""
+    """Array literal: for each hash bucket of tokens, a class that grows with the bucket's count over a part of every text.
+
+    Classes only say which tokens of a set are held against other sets first. Whatever they are, the matches are the same.
+    """
     flat = F.replace(_plain(F.col(text), WITHIN), F.lit("\n"), F.lit(" "))
-    counted = docs.select(F.explode(F.split(flat, " ")).alias("t")).select(F.xxhash64("t").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b"))
+    counted = docs.select(_part(F.col(text)).alias(text)).select(F.explode(F.split(flat, " ")).alias("t"))
+    counted = counted.select(F.xxhash64("t").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b"))
     classes = [0] * BUCKETS
     for b, c in counted.groupBy("b").count().select("b", (F.log2("count") * 2).cast("int")).collect():
         classes[b] = c
