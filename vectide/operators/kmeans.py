@@ -53,7 +53,8 @@ def step(rows: DataFrame, centroids: np.ndarray, metric: str | Metric = "l2", re
             np.add.at(total, own, np.stack(pdf["vec"].to_list()).astype(np.float64))
             n += np.bincount(own, minlength=k)
         full = np.flatnonzero(n)
-        yield pd.DataFrame({"list_id": full.astype(np.int32), "n": n[full], "s": list(total[full])})
+        if len(full):  # a task may have no rows, and Arrow takes no array column from an empty frame
+            yield pd.DataFrame({"list_id": full.astype(np.int32), "n": n[full], "s": list(total[full])})
 
     part = placed.select("list_id", "vec").mapInPandas(sums, "list_id int, n long, s array<double>")
     flat = part.select("list_id", "n", F.posexplode("s").alias("pos", "s")).groupBy("list_id", "pos").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
