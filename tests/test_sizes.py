@@ -29,3 +29,7 @@ def differs(spark, folder, name):
 
 def test_ivf_train_with_tasks_without_rows(spark, one_group):
     assert not differs(spark, one_group, "ivf_train_iter")
+
+
+def test_list_stats_with_tasks_without_rows(spark, one_group):
+    assert not differs(spark, one_group, "ivf_list_stats")
