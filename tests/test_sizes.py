@@ -33,3 +33,7 @@ def test_ivf_train_with_tasks_without_rows(spark, one_group):
 
 def test_list_stats_with_tasks_without_rows(spark, one_group):
     assert not differs(spark, one_group, "ivf_list_stats")
+
+
+def test_product_training_with_tasks_without_rows(spark, one_group):
+    assert not differs(spark, one_group, "pq_train_iter")

@@ -52,7 +52,8 @@ class ProductQuantizer:
                         np.add.at(total[j], own[:, j], x[:, j * sub : (j + 1) * sub])
                         n[j] += np.bincount(own[:, j], minlength=k)
             j, c = np.nonzero(n)
-            yield pd.DataFrame({"m": j.astype(np.int32), "c": c.astype(np.int32), "n": n[j, c], "s": list(total[j, c])})
+            if len(j):  # a task may have no rows, and Arrow takes no array column from an empty frame
+                yield pd.DataFrame({"m": j.astype(np.int32), "c": c.astype(np.int32), "n": n[j, c], "s": list(total[j, c])})
 
         part = rows.select("vec").mapInPandas(sums, "m int, c int, n long, s array<double>")
         each = [F.sum(F.get("s", F.lit(d))).alias(f"s{d}") for d in range(sub)]
