@@ -6,7 +6,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from vectide.operators import halves
-from vectide.operators.kdforest import KdForest, TreeParams
+from vectide.operators.kdforest import KdForest, SearchParams, TreeParams
 from vectide.plans.queries import ORACLE, QUERIES, scaled
 
 GIVEN = "/root/testdata/sf0.001/embeddings.parquet"
@@ -58,3 +58,21 @@ def test_halves_with_ties(spark, monkeypatch):
         size, left = halves.outline(len(x), 150)
         got = KdForest(rows, TreeParams(2, 8, shard_rows=150)).parts().groupBy("shard").count().collect()
         assert sorted(r["count"] for r in got) == sorted(size[left < 0])
+
+
+def test_whole_budget_needs_no_walk_and_equal_rows_go_by_id(spark, tmp_path, capsys):
+    rng = np.random.default_rng(5)
+    x = np.tile(rng.standard_normal((150, 24)), (3, 1))
+    rows = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "id bigint, vec array<double>")
+    asked = rows.where("id % 9 = 0").withColumnRenamed("id", "query_id")
+    forest = KdForest(rows, TreeParams(2, 8, shard_rows=200))
+    forest.save(str(tmp_path / "forest"))
+    for metric in ("l2", "ip", "cosine"):
+        d = {"l2": ((x[:, None] - x[None]) ** 2).sum(axis=2), "ip": -(x @ x.T), "cosine": -(x @ x.T) / np.outer(*[np.linalg.norm(x, axis=1)] * 2)}[metric]
+        want = {(i, n + 1, int(r)) for i in range(0, 450, 9) for n, r in enumerate(np.lexsort((np.arange(450), d[i].round(9)))[:7])}
+        for searched in (forest, KdForest.load(spark, str(tmp_path / "forest"))):
+            found = searched.batch_search(asked, 7, SearchParams(450, metric))
+            assert {(r.query_id, r.rank, r.id) for r in found.collect()} == want
+    capsys.readouterr()
+    forest.batch_search(asked, 7, SearchParams(450)).explain()
+    assert "CoGroup" not in capsys.readouterr().out

@@ -46,16 +46,24 @@ class Best:
         self.q, self.id, self.d = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         self.bound = np.full(len(q_ids), np.inf)  # of each query with k rows so far, the worst one's distance
 
-    def see(self, at: np.ndarray, ids: np.ndarray, d: np.ndarray) -> None:
-        """d: distances of the queries numbered `at` to rows with these ids."""
+    def meet(self, at: np.ndarray, ids: np.ndarray, q: np.ndarray, x: np.ndarray, metric: str | Metric) -> None:
+        """The queries numbered `at`, with vectors q, and rows x with these ids. Products leave rounding errors that differ between equal
+        rows; what may be near enough is measured again, so that equal rows tie and go by id."""
+        d, pairs = metric_scores(metric)({"vec": q}, {"vec": x}), metric_pairs(metric)
+        size = np.ones(len(q)) if parse_metric(metric) is Metric.COSINE else np.einsum("ij,ij->i", q, q) + np.einsum("ij,ij->i", x, x, dtype=np.float64).max(initial=0)
+        self.see(at, ids, d, 4 * (x.shape[1] + 8) * np.finfo(float).eps * size, lambda i, j: pairs(q, x, i, j))
+
+    def see(self, at: np.ndarray, ids: np.ndarray, d: np.ndarray, slack: np.ndarray | float = 0.0, again: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> None:
+        """d: distances of the queries numbered `at` to rows with these ids, each query's within slack / 2; again: exact ones by place in d."""
         bound = self.bound[at]
         open_ = np.isinf(bound) if d.shape[1] > self.k else np.zeros(len(at), bool)
         if open_.any():
             worst = np.partition(d[open_], self.k - 1, axis=1)[:, self.k - 1]
             bound[open_] = np.where(np.isnan(worst), np.inf, worst)
-        q, r = np.nonzero(d <= bound[:, None])
+        q, r = np.nonzero(d <= (bound + slack)[:, None])
         if len(q):
-            self.q, self.id, self.d = np.concatenate([self.q, at[q]]), np.concatenate([self.id, ids[r]]), np.concatenate([self.d, d[q, r]])
+            near = d[q, r] if again is None else again(q, r)
+            self.q, self.id, self.d = np.concatenate([self.q, at[q]]), np.concatenate([self.id, ids[r]]), np.concatenate([self.d, near])
         if open_.any() or len(self.q) > 2 * self.k * len(self.q_ids):
             self.cut()
 
@@ -109,13 +117,14 @@ def best(hits: DataFrame, k: int, query: str = "query_id") -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(query, "rank", "id", "distance")
 
 
-def scan(base: DataFrame, queries: DataFrame, columns: list[str], query_columns: list[str], score: Callable[[Arrays, Arrays], np.ndarray], k: int, id: str = "id", query_id: str = "query_id") -> DataFrame:
-    """best() of all rows for every query. score(queries, rows) gives a matrix of distances from matrices by column name."""
+def scan(base: DataFrame, queries: DataFrame, columns: list[str], query_columns: list[str], score: Callable[[Arrays, Arrays], np.ndarray], k: int, id: str = "id", query_id: str = "query_id", metric: str | Metric | None = None) -> DataFrame:
+    """best() of all rows for every query. score(queries, rows) gives a matrix of distances from matrices by column name. With a metric,
+    columns are vec on both sides and equal rows tie exactly."""
     if k < 1:
         return base.select(F.lit(0).cast("long").alias("query_id"), F.lit(0).alias("rank"), F.lit(0).cast("long").alias("id"), F.lit(0.0).alias("distance")).limit(0)
     types, asked = _types(base, columns), sent(queries, query_id, query_columns)
     if asked is None:
-        return best(_dealt(base, queries, columns, query_columns, score, k, id, query_id), k)
+        return best(_dealt(base, queries, columns, query_columns, score, k, id, query_id, metric), k)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         q_ids, q = asked.value
@@ -125,13 +134,16 @@ def scan(base: DataFrame, queries: DataFrame, columns: list[str], query_columns:
                 some = part.slice(at, ROWS)
                 x, ids = {c: matrix(some[c], types[c]) for c in columns}, some["k"].to_numpy(zero_copy_only=False)
                 for b in range(0, len(q_ids), QUERIES):
+                    if metric is not None:
+                        found.meet(np.arange(b, min(b + QUERIES, len(q_ids))), ids, q["vec"][b : b + QUERIES], x["vec"], metric)
+                        continue
                     found.see(np.arange(b, min(b + QUERIES, len(q_ids))), ids, score({c: m[b : b + QUERIES] for c, m in q.items()}, x))
         yield pa.RecordBatch.from_pandas(found.rows(), preserve_index=False)
 
     return best(base.select(F.col(id).cast("long").alias("k"), *columns).mapInArrow(run, HITS), k)
 
 
-def _dealt(base: DataFrame, queries: DataFrame, columns: list[str], query_columns: list[str], score, k: int, id: str, query_id: str) -> DataFrame:
+def _dealt(base: DataFrame, queries: DataFrame, columns: list[str], query_columns: list[str], score, k: int, id: str, query_id: str, metric: str | Metric | None = None) -> DataFrame:
     """Hits of sets of queries that are too large to be sent: blocks of queries meet groups of row blocks, as many groups as blocks
     of rows up to the number of shuffle partitions."""
     types, q_types = _types(base, columns), _types(queries, query_columns)
@@ -147,7 +159,10 @@ def _dealt(base: DataFrame, queries: DataFrame, columns: list[str], query_column
                 x = {c: np.frombuffer(getattr(r, c), types[c]).reshape(len(ids), -1) for c in columns}
                 q = {c: np.frombuffer(getattr(r, f"q_{c}"), q_types[c]).reshape(len(q_ids), -1) for c in query_columns}
                 found = Best(q_ids, k)
-                found.see(np.arange(len(q_ids)), ids, score(q, x))
+                if metric is None:
+                    found.see(np.arange(len(q_ids)), ids, score(q, x))
+                else:
+                    found.meet(np.arange(len(q_ids)), ids, q["vec"], x["vec"], metric)
                 yield found.rows()
 
     return asked.join(rows, "deal").mapInPandas(run, HITS)
@@ -172,3 +187,24 @@ def metric_scores(metric: str | Metric) -> Callable[[Arrays, Arrays], np.ndarray
         return np.where(size <= TINY, 0.0, 1 - np.clip(dot / np.maximum(size, TINY), -1, 1))
 
     return score
+
+
+def metric_pairs(metric: str | Metric) -> Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """Distances of the rows of two matrices that i and j pair, summed component by component in order."""
+    m = parse_metric(metric)
+
+    def dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.add.accumulate(a * b, axis=1)[:, -1]
+
+    def pairs(q: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(i))
+        for at in range(0, len(i) if x.shape[1] else 0, ROWS):
+            a, b = x[j[at : at + ROWS]].astype(np.float64, copy=False), q[i[at : at + ROWS]].astype(np.float64, copy=False)
+            if m is Metric.COSINE:
+                size = np.sqrt(dot(a, a) * dot(b, b))
+                out[at : at + ROWS] = np.where(size <= TINY, 0.0, 1 - np.clip(dot(a, b) / np.maximum(size, TINY), -1, 1))
+            else:
+                out[at : at + ROWS] = -dot(a, b) if m is Metric.IP else dot(a - b, a - b)
+        return out
+
+    return pairs
