@@ -12,18 +12,19 @@ from pyspark.sql import functions as F
 
 from vectide.functions.vectors import Metric, distance, parse_metric
 from vectide.operators import kmeans
-from vectide.operators.blocks import HITS, QUERIES, Best, best, matrix, metric_scores, sent
+from vectide.operators.blocks import HITS, QUERIES, TYPES, Best, best, matrix, metric_scores, sent
 
 
 class IvfFlatIndex:
     """nlist inverted lists under a metric. train(), then add() rows (id, vec), then search."""
 
-    def __init__(self, spark: SparkSession, dim: int, nlist: int, metric: str | Metric = "l2"):
+    def __init__(self, spark: SparkSession, dim: int, nlist: int, metric: str | Metric = "l2", stored: str = "float"):
         if dim < 1 or nlist < 1:
             raise ValueError("dim and nlist must be at least 1")
         self.spark, self.dim, self.nlist, self.metric = spark, dim, nlist, parse_metric(metric)
         self.centroids: np.ndarray | None = None
-        self.postings = spark.createDataFrame([], "list_id int, id bigint, vec array<float>")
+        self.stored = stored  # float or double: what the lists keep of each component
+        self.postings = spark.createDataFrame([], f"list_id int, id bigint, vec array<{stored}>")
 
     @property
     def is_trained(self) -> bool:
@@ -35,7 +36,7 @@ class IvfFlatIndex:
 
     def add(self, rows: DataFrame) -> IvfFlatIndex:
         self._need()
-        placed = kmeans.assign(rows.select(F.col("id").cast("bigint"), F.col("vec").cast("array<float>")), self.centroids, self.metric)
+        placed = kmeans.assign(rows.select(F.col("id").cast("bigint"), F.col("vec").cast(f"array<{self.stored}>")), self.centroids, self.metric)
         self.postings = self.postings.unionByName(placed.select("list_id", "id", "vec"))
         return self
 
@@ -74,12 +75,14 @@ class IvfFlatIndex:
         by_query = np.argsort(score({"vec": asked.value[1]["vec"]}, {"vec": self.centroids}), axis=1, kind="stable")[:, :n] if len(asked.value[0]) else np.zeros((0, n), int)
         probing = [np.flatnonzero((by_query == j).any(axis=1)) for j in range(self.nlist)]
 
+        stored = TYPES[self.stored]
+
         def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             q_ids, q = asked.value
             found = Best(q_ids, k)
             for part in parts:
                 of, ids = part["list_id"].to_numpy(zero_copy_only=False), part["k"].to_numpy(zero_copy_only=False)
-                x = matrix(part["vec"], "f4") if part.num_rows else None
+                x = matrix(part["vec"], stored) if part.num_rows else None
                 for j in np.unique(of):
                     rows, at = np.flatnonzero(of == j), probing[j]
                     for b in range(0, len(at), QUERIES):
