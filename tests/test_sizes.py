@@ -80,3 +80,7 @@ def test_whole_budget_needs_no_walk_and_equal_rows_go_by_id(spark, tmp_path, cap
 
 def test_full_probe_with_tasks_without_rows(spark, one_group):
     assert not differs(spark, one_group, "ivf_full_probe")
+
+
+def test_search_with_tasks_without_rows(spark, one_group):
+    assert not differs(spark, one_group, "ivf_search_nprobe")
